@@ -22,6 +22,8 @@ CHUNK_BYTES = 2_000_000
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+IS_CASED_WORD = IS_WORD.copy()
+IS_CASED_WORD[65:91] = True
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -77,12 +79,13 @@ def lower(arr: pa.Array) -> pa.Array:
 
 class Words:
     """The words of a batch: ``start``/``end`` byte positions, ``hash``, ``row`` and ``first``
-    (n+1 positions of each row's first word).  Works on lower-cased text."""
+    (n+1 positions of each row's first word).  Takes lower-cased text, or any text if ``cased``;
+    a text has as many words either way."""
 
-    def __init__(self, arr: pa.Array, hashes: bool = True):
+    def __init__(self, arr: pa.Array, hashes: bool = True, cased: bool = False):
         self.buf, self.off = raw(arr)
         n = len(self.buf)
-        word = IS_WORD[self.buf]
+        word = (IS_CASED_WORD if cased else IS_WORD)[self.buf]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoria.llm import line_dedup, quality_rules, simhash_dedup
+from mnemoria.llm import decontaminate, line_dedup, quality_rules, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,26 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.build(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(table(spark, sf_dir, "documents"), sentencepiece.load(sentencepiece.MODEL))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,6 +46,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_span_dedup": op2_span_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op3_sstable": op3_sstable,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op8_sharding": op8_sharding,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_rules": op10_quality_rules,
