@@ -197,42 +197,31 @@ def groups_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a batch of Words: ``row``, ``number`` within the row, ``first`` (n+1 positions
-    of their words), and their normal form in ``buf[at[i]:at[i+1]]``: words with a blank after each."""
+    """The lines of a batch of Words: ``row``, ``number`` within the row, ``first`` (n+1 positions of
+    their words), ``words`` and ``size``, the bytes of the normal form: words with single blanks between."""
 
     def __init__(self, w: Words):
+        self.w = w
         feeds = np.flatnonzero(w.buf == 10)
-        rows = np.arange(len(w.off) - 1)
-        begin_row = np.searchsorted(feeds, w.off)
-        per_row = np.diff(begin_row) + 1
-        self.row = np.repeat(rows, per_row)
-        self.number = np.arange(len(self.row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        start = np.empty(len(self.row), np.int64)
+        per_row = np.diff(np.searchsorted(feeds, w.off)) + 1
         head = np.cumsum(per_row) - per_row
-        start[head] = w.off[:-1]
+        self.row = np.repeat(np.arange(len(w.off) - 1), per_row)
+        self.number = np.arange(len(self.row)) - np.repeat(head, per_row)
+        start = np.empty(len(self.row), np.int64)
         rest = np.ones(len(start), bool)
         rest[head] = False
-        start[rest] = feeds + 1
-        own = np.searchsorted(w.start, start)
-        self.first = np.append(own, len(w.start))
-        size = w.end - w.start + 1
-        to = np.concatenate(([0], np.cumsum(size)))
-        src = np.arange(to[-1]) - np.repeat(to[:-1] - w.start, size)
-        self.buf = np.full(to[-1], 32, np.uint8)
-        inside = np.ones(to[-1], bool)
-        inside[to[1:] - 1] = False
-        self.buf[inside] = w.buf[src[inside]]
-        self.at = to[self.first]
+        start[head], start[rest] = w.off[:-1], feeds + 1
+        self.first = np.append(np.searchsorted(w.start, start), len(w.start))
         self.words = np.diff(self.first)
-        self.size = np.maximum(np.diff(self.at) - 1, 0)
-
-    def trigrams(self) -> np.ndarray:
-        """A hash for each byte of ``buf``: it and the two after it in the same line."""
-        b = self.buf.astype(U)
-        g = b.copy()
-        g[:-1] |= b[1:] << U(8)
-        g[:-2] |= b[2:] << U(16)
-        ends = self.at[1:][self.size > 0]
-        g[ends - 1] = b[ends - 1]
-        g[ends - 2] = b[ends - 2] | (b[ends - 1] << U(8))
-        return mix(g, 3)
+        sums = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+        self.size = np.maximum(np.diff(sums[self.first]) - 1, 0)
+
+    def text(self, i: int) -> str:
+        """The normal form of line i."""
+        a, e = self.first[i], self.first[i + 1]
+        return b" ".join(bytes(self.w.buf[s:t]) for s, t in zip(self.w.start[a:e], self.w.end[a:e])).decode("utf-8", "replace")
+
+    def simhash(self) -> np.ndarray:
+        """64 SimHash bits of each line's distinct words."""
+        h, first = distinct_by_row(self.w.hash, np.repeat(np.arange(len(self.row)), self.words), len(self.row))
+        return simhash(h, first, 1)[:, 0]
