@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoria.llm import decontaminate, line_dedup, quality_rules, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
+from mnemoria.llm import decontaminate, language_id, license_scan, line_dedup, quality_rules, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.trained(docs))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,14 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_span_dedup": op2_span_dedup,
-    "op6_decontaminate": op6_decontaminate,
-    "op3_sstable": op3_sstable,
-    "op5_sentencepiece": op5_sentencepiece,
-    "op8_sharding": op8_sharding,
-    "op4_simhash_dedup": op4_simhash_dedup,
-    "op7_line_dedup": op7_line_dedup,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (op1_license_scan, op2_span_dedup, op3_sstable, op4_simhash_dedup, op5_sentencepiece, op6_decontaminate, op7_line_dedup, op8_sharding, op9_language_id, op10_quality_rules)
 }
 
 SQL: dict[str, str] = {
