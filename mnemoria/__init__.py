@@ -1 +1 @@
-"""A PySpark engine for evolving knowledge-graph memory."""
+"""A PySpark engine for evolving memory graphs."""
