@@ -174,7 +174,7 @@ def _search(sides: list[Side], ids: list, kind: pa.DataType):
                         found[k] = max(found.get(k, v), v)
                 if found:
                     rows = sorted(found)
-                    part = batch.slice(a, b - a).take(pa.array([r for r, _ in rows]))
+                    part = batch.select(["doc_id", "th"]).slice(a, b - a).take(pa.array([r for r, _ in rows]))
                     share, slots, changed = zip(*(found[k] for k in rows))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([ids[i] for _, i in rows], kind), pa.array([round(x, 6) for x in share]), pa.array(slots, pa.int32()), pa.array(changed, pa.int32())], ["doc_id", "th", "item_id", "coverage", "slots", "changed_slots"])
 

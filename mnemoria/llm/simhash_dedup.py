@@ -43,7 +43,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = K.simhash(h, first, WORDS)
             some = np.flatnonzero(np.diff(first))
             col = pa.array([x.tobytes() for x in sig[some]], pa.binary())
-            part = batch.slice(a, b - a).take(pa.array(some))
+            part = batch.select(["id", "th"]).slice(a, b - a).take(pa.array(some))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), col], ["id", "th", "sig"])
 
 

@@ -39,14 +39,12 @@ _CLOSE[[34, 39, 41, 93]] = True
 def sentence_starts(w: K.Words) -> np.ndarray:
     """Indices of the words that begin a sentence."""
     b = w.buf
-    space = K.IS_SPACE[b]
-    end = _STOP[b]
-    after, after2 = np.append(b[1:], [32])[: len(b)], np.append(b[2:], [32, 32])[: len(b)]
-    mark = (end & (K.IS_SPACE[after] | (_CLOSE[after] & K.IS_SPACE[after2]))) | (b == 10)
-    del space
-    sums = np.concatenate(([0], np.cumsum(mark, dtype=np.int64)))
+    stop = np.flatnonzero(_STOP[b])
+    after = np.append(b, np.uint8([32, 32]))
+    closed = _CLOSE[after[stop + 1]] & K.IS_SPACE[after[stop + 2]]
+    marks = np.union1d(stop[K.IS_SPACE[after[stop + 1]] | closed], np.flatnonzero(b == 10))
     starts = np.ones(len(w.start), bool)
-    starts[1:] = (sums[w.start[1:]] > sums[w.end[:-1]]) | (w.row[1:] != w.row[:-1])
+    starts[1:] = (np.searchsorted(marks, w.start[1:]) > np.searchsorted(marks, w.end[:-1])) | (w.row[1:] != w.row[:-1])
     return np.flatnonzero(starts)
 
 
@@ -78,7 +76,7 @@ def _emit(least: int):
                 if not len(a):
                     continue
                 row = w.row[bound[a]]
-                part = batch.slice(x, y - x).take(pa.array(row))
+                part = batch.select(["id", "th"]).slice(x, y - x).take(pa.array(row))
                 place = ((a - first[row]) << 32) | (e - first[row])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("id"), part.column("th"), pa.array(place)], ["h", "id", "th", "place"])
 
