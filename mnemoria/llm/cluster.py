@@ -26,6 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, th): every row of docs as one struct, so that its columns may have any name, with its id and the hash of its text."""
+    return docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def same_document(a: DataFrame, b: DataFrame):
+    return a["id"].eqNullSafe(b["__id"]) & (a["th"] == b["__th"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b): label is the least node of its component.
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoria.llm import kernel as K
+from mnemoria.llm.cluster import same_document, unwrapped, whole_rows
 
 WINDOW, LEAST, COVERAGE, BLOCK = 8, 5, 0.5, 2_000_000
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces t ton tons tonnes ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hrs hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros usd eur gbp degree degrees celsius fahrenheit watt watts kw volt volts hz mb gb kb".split()
@@ -201,5 +202,6 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents into which no item leaks, with their own columns."""
-    gone = _found(docs, items, id_col, text_col, item_col, item_text).select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs[text_col]) == F.col("__gone_th")), "left_anti")
+    gone = _found(docs, items, id_col, text_col, item_col, item_text).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    rows = whole_rows(docs, id_col, text_col)
+    return unwrapped(rows.join(gone, same_document(rows, gone), "left_anti"), docs.columns)

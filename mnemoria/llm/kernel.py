@@ -165,13 +165,18 @@ def simhash(h: np.ndarray, first: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def distinct_by_row(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct hashes (their upper 48 or more bits), and n+1 positions."""
-    bits = max(1, int(rows - 1).bit_length())
-    key = np.sort((row.astype(U) << U(64 - bits)) | (h >> U(bits)))
+    """Each row's distinct hashes (their upper 40 bits, in any batch), and n+1 positions; row ascends."""
+    most = 1 << 24
+    if rows > most:
+        edges = np.searchsorted(row, np.arange(0, rows + most, most))
+        parts = [distinct_by_row(h[a:b], row[a:b] - k * most, min(most, rows - k * most)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+        sizes = np.concatenate([np.diff(first) for _, first in parts])
+        return np.concatenate([k for k, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+    key = np.sort((row.astype(U) << U(40)) | (h >> U(24)))
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    own = (key >> U(64 - bits)).astype(np.int64)
-    return key << U(bits), np.searchsorted(own, np.arange(rows + 1))
+    own = (key >> U(40)).astype(np.int64)
+    return key << U(24), np.searchsorted(own, np.arange(rows + 1))
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:

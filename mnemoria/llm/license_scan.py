@@ -184,6 +184,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     start and end bound it in the text, in characters; spans are its runs of consecutive equal words."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = TEMPLATES if templates is None else templates
+    schema = T.StructType([own.schema["doc_id"], *T._parse_datatype_string(SCHEMA).fields])
+    columns = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(names)
@@ -206,7 +208,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
                     rows.append((t.name, n, round(len(x) / t.size, 6), len(x), t.size, int(s[0]), int(e[-1]), spans))
                 ids = batch.column("doc_id").take(pa.array([a + f[0] for f in found]))
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                fields = [f.name for f in T._parse_datatype_string(SCHEMA).fields]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", *fields])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], columns)
 
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *T._parse_datatype_string(SCHEMA).fields]))
+    return own.mapInArrow(run, schema)

@@ -150,7 +150,8 @@ def clean(docs: DataFrame, text_col: str = "text", share: float = KEEP_SHARE) ->
             columns[place] = pa.array([r[1] for r in rows], out.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=out.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a column may have any name
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = KEEP_SHARE) -> DataFrame:

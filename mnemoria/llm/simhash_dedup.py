@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoria.llm import kernel as K
-from mnemoria.llm.cluster import components, cut, linker, sampled_bits
+from mnemoria.llm.cluster import components, cut, linker, sampled_bits, same_document, unwrapped, whole_rows
 
 WORDS = 4  # 64-bit words of a signature
 TABLES, BITS, MAX_DISTANCE = 40, 20, 38
@@ -96,12 +96,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without all but the first document of each group, with their own columns."""
     signed = cut(signatures(docs, id_col, text_col))
     g = groups(signed, **search)
-    gone = g.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))).select(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"))
-    again = cut(signed.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("__again_id"), F.col("th").alias("__again_th")))
-    th = F.xxhash64(docs[text_col])
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone_id")) & (th == F.col("__gone_th")), "left_anti")
-    if again.isEmpty():
-        return kept
-    twice = kept[id_col].eqNullSafe(F.col("__again_id")) & (F.xxhash64(kept[text_col]) == F.col("__again_th"))
-    once = kept.join(again, twice, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, twice, "left_anti").unionByName(once)
+    gone = g.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    again = cut(signed.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th")))
+    rows = whole_rows(docs, id_col, text_col)
+    kept = rows.join(gone, same_document(rows, gone), "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, same_document(kept, again), "left_semi").dropDuplicates(["id", "th"])
+        kept = kept.join(again, same_document(kept, again), "left_anti").unionByName(once)
+    return unwrapped(kept, docs.columns)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoria.llm import kernel as K
+from mnemoria.llm.cluster import same_document, unwrapped, whole_rows
 
 MIN_WORDS = 40
 _STOP = np.zeros(256, bool)
@@ -161,8 +162,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs without the sentences that repeated spans cover, with their own columns."""
-    hit = repeated(docs, id_col, text_col, least).select(F.col("id").alias("__hit_id"), F.col("th").alias("__hit_th"), F.col("spans").alias("__spans"))
-    same = docs[id_col].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs[text_col]) == F.col("__hit_th"))
-    both = docs.join(hit, same, "left").select(*[docs[c] for c in docs.columns], "__spans")
-    changed = both.where("__spans is not null").mapInArrow(_cut([], docs.columns.index(text_col)), docs.schema)
-    return both.where("__spans is null").drop("__spans").unionByName(changed)
+    hit = repeated(docs, id_col, text_col, least).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans")
+    rows = whole_rows(docs, id_col, text_col)
+    both = rows.join(hit, same_document(rows, hit), "left")
+    text = F.col("row").getField(text_col).cast("string")
+    changed = both.where("spans is not null").select("row", text.alias("text"), F.col("spans").alias("__spans"))
+    changed = changed.mapInArrow(_cut([], 1), T.StructType(changed.schema.fields[:2]))
+    changed = changed.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return unwrapped(both.where("spans is null"), docs.columns).unionByName(changed)

@@ -332,7 +332,7 @@ def tables(parts: DataFrame, shard_ids: list[int] | None = None) -> Iterator[tup
 def write(parts: DataFrame, path: str) -> None:
     """One file ``shard-<id>.sst`` for each shard, in a folder that all executors share."""
 
-    def store(key, table: pa.Table) -> pa.Table:
+    def store(key, table):
         import os
 
         os.makedirs(path, exist_ok=True)
@@ -342,7 +342,7 @@ def write(parts: DataFrame, path: str) -> None:
             for i in order.tolist():
                 f.write(table["payload"][i].as_py())
         os.replace(f"{name}.{os.getpid()}", name)  # a task that runs again replaces its own file whole
-        return pa.table({"shard_id": [key[0].as_py()]})
+        return pa.table({"shard_id": pa.array([key[0].as_py()], pa.int32())})
 
     parts.groupBy("shard_id").applyInArrow(store, "shard_id int").count()
 
