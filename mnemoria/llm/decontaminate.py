@@ -190,7 +190,7 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     schema = T.StructType([own.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("item_id", kind), *T._parse_datatype_string("coverage double, slots int, changed_slots int").fields])
     out = None
     for ids, texts in _blocks(items, item_col, item_text):
-        part = own.mapInArrow(_search([Side(texts, True), Side(texts, False)], ids, to_arrow_type(kind)), schema)
+        part = own.mapInArrow(K.tidy(_search([Side(texts, True), Side(texts, False)], ids, to_arrow_type(kind))), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
 

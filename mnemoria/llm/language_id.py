@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 lead = pa.array((top[:, -1] - top[:, -2]).astype(np.float64), mask=~some) if top.shape[1] > 1 else pa.nulls(b - a, pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], names.take(pa.array(best)), pa.array(top[:, -1].astype(np.float64), mask=~some), lead], ["doc_id", "language", "score", "margin"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *T._parse_datatype_string("language string, score double, margin double").fields]))
+    return own.mapInArrow(K.tidy(run), T.StructType([own.schema["doc_id"], *T._parse_datatype_string("language string, score double, margin double").fields]))
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:

@@ -210,4 +210,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], columns)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(K.tidy(run), schema)

@@ -151,7 +151,7 @@ def clean(docs: DataFrame, text_col: str = "text", share: float = KEEP_SHARE) ->
             yield pa.RecordBatch.from_arrays(columns, schema=out.schema)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a column may have any name
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(K.tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = KEEP_SHARE) -> DataFrame:
@@ -164,7 +164,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], ["doc_id", "text", "n_lines", "n_kept"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *T._parse_datatype_string("text string, n_lines long, n_kept long").fields]))
+    return own.mapInArrow(K.tidy(run), T.StructType([own.schema["doc_id"], *T._parse_datatype_string("text string, n_lines long, n_kept long").fields]))
 
 
 def _sql() -> str:

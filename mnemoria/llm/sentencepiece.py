@@ -35,7 +35,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-KNOWN_WORDS = 500_000  # words whose ids a worker keeps; it starts anew beyond them
+KNOWN_WORDS = 150_000  # words whose ids a worker keeps; it starts anew beyond them
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -232,7 +232,7 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         codec = _codec(sent.value, threads)
         for batch in batches:
             whole = batch.column("text")
-            for x, y in K.chunks(whole, 4 * K.CHUNK_BYTES):
+            for x, y in K.chunks(whole):
                 text = whole[x:y]
                 flat, off = codec.encode(text)
                 gone = text.is_null()
@@ -248,7 +248,7 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 null = gone.to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[x:y], lists, pa.array(np.diff(off), pa.int64(), mask=null), pa.array(exact, mask=null)], ["doc_id", "ids", "n_tokens", "exact"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *T._parse_datatype_string("ids array<int>, n_tokens long, exact boolean").fields]))
+    return own.mapInArrow(K.tidy(run), T.StructType([own.schema["doc_id"], *T._parse_datatype_string("ids array<int>, n_tokens long, exact boolean").fields]))
 
 
 def decoded(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,4 +266,4 @@ def decoded(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
             texts = [None if n else data[a:b].decode("utf-8", "replace") for n, a, b in zip(ids.is_null().to_pylist(), ends.tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType())]))
+    return own.mapInArrow(K.tidy(run), T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType())]))

@@ -51,7 +51,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, th, sig): th is the hash of the whole text, sig the 32-byte signature."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([own.schema["id"], T.StructField("th", T.LongType()), T.StructField("sig", T.BinaryType())])
-    return own.mapInArrow(_sign, schema)
+    return own.mapInArrow(K.tidy(_sign), schema)
 
 
 def _probe(tables: int, bits: int, seed: int):
@@ -70,8 +70,8 @@ def _probe(tables: int, bits: int, seed: int):
 
 def links(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, bits: int = BITS, cap: int = CAP, extra: int = EXTRA_BITS, draws: int = DRAWS, seed: int = 5) -> DataFrame:
     """Spanning edges (a, b) between distinct signatures (column sig) within max_distance."""
-    rows = sigs.mapInArrow(_probe(tables, bits, seed), "bucket long, sig binary")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(linker(max_distance, cap, extra, draws), "a binary, b binary").distinct()
+    rows = sigs.mapInArrow(K.tidy(_probe(tables, bits, seed)), "bucket long, sig binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(linker(max_distance, cap, extra, draws)), "a binary, b binary").distinct()
 
 
 def groups(signed: DataFrame, **search) -> DataFrame:

@@ -145,9 +145,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     begin << 32 | end sentence, and the ids of the documents with the first occurrences."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["id"]
-    rows = own.mapInArrow(_emit(least), T.StructType([T.StructField("h", T.LongType()), kind, *T._parse_datatype_string("th long, place long").fields]))
+    rows = own.mapInArrow(K.tidy(_emit(least)), T.StructType([T.StructField("h", T.LongType()), kind, *T._parse_datatype_string("th long, place long").fields]))
     rows = rows.repartition("h").sortWithinPartitions("h", "id", "th", "place")
-    again = rows.mapInArrow(_repeats, T.StructType([kind, *T._parse_datatype_string("th long, place long").fields, T.StructField("first_id", kind.dataType)]))
+    again = rows.mapInArrow(K.tidy(_repeats), T.StructType([kind, *T._parse_datatype_string("th long, place long").fields, T.StructField("first_id", kind.dataType)]))
     return again.groupBy("id", "th").agg(F.collect_set("place").alias("spans"), F.collect_set("first_id").alias("first_ids"))
 
 
@@ -157,7 +157,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("__th", F.xxhash64("text"))
     both = own.join(hit, own["doc_id"].eqNullSafe(hit["id"]) & (own["__th"] == hit["th"]))
     both = both.select("doc_id", F.array_sort("first_ids").alias("first_doc_ids"), "text", F.col("spans").alias("__spans"))
-    return both.mapInArrow(_cut(["counts"], 2), T.StructType([*both.schema.fields[:3], *T._parse_datatype_string("n_sentences long, n_removed long").fields]))
+    return both.mapInArrow(K.tidy(_cut(["counts"], 2)), T.StructType([*both.schema.fields[:3], *T._parse_datatype_string("n_sentences long, n_removed long").fields]))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
@@ -167,6 +167,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     both = rows.join(hit, same_document(rows, hit), "left")
     text = F.col("row").getField(text_col).cast("string")
     changed = both.where("spans is not null").select("row", text.alias("text"), F.col("spans").alias("__spans"))
-    changed = changed.mapInArrow(_cut([], 1), T.StructType(changed.schema.fields[:2]))
+    changed = changed.mapInArrow(K.tidy(_cut([], 1)), T.StructType(changed.schema.fields[:2]))
     changed = changed.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
     return unwrapped(both.where("spans is null"), docs.columns).unionByName(changed)

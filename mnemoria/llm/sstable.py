@@ -319,7 +319,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", value_cols: list[str] | None
     sizes += [4 * F.greatest(F.size(f"__v{i}"), F.lit(0)) for i, c in enumerate(names) if docs.schema[c].dataType.typeName() == "array"]
     own = own.withColumn("__bytes", sum(sizes, F.lit(0)))
     placed = shard(own, "__key", ["__key"], None, target, shard_col="__shard", size=F.col("__bytes")).drop("__bytes")
-    return placed.sortWithinPartitions("__shard", "__key").mapInArrow(_stream(names), SCHEMA)
+    return placed.sortWithinPartitions("__shard", "__key").mapInArrow(K.tidy(_stream(names)), SCHEMA)
 
 
 def tables(parts: DataFrame, shard_ids: list[int] | None = None) -> Iterator[tuple[int, Table]]:
