@@ -10,23 +10,31 @@ EVENTS = ("CONSOLIDATION", "DECAY", "REINFORCEMENT", "SYNTHESIS", "REHYDRATION",
 TENANT = ["user_id", "memory_id"]
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+_TEXTS = T.ArrayType(T.StringType())
+_KINDS = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
+    "texts": _TEXTS, "vector": T.ArrayType(T.FloatType()), "map": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """``name kind, ...``; needs no session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in columns.split(","))])
 
 
 NODES = _schema(
-    "user_id string, memory_id string, id string, name string, entity_type string, description string, canonical_name string, aliases array<string>,"
-    "embedding array<float>, properties map<string,string>, source_chunks array<string>, occurrence_count long, importance double, state string,"
+    "user_id string, memory_id string, id string, name string, entity_type string, description string, canonical_name string, aliases texts,"
+    "embedding vector, properties map, source_chunks texts, occurrence_count long, importance double, state string,"
     "created_at timestamp, updated_at timestamp, accessed_at timestamp, access_count long"
 )
 EDGES = _schema(
     "user_id string, memory_id string, id string, source_id string, target_id string, relation_type string, description string, weight double, confidence double,"
     "priority long, importance double, state string, valid_from timestamp, valid_until timestamp, created_at timestamp, updated_at timestamp, accessed_at timestamp,"
-    "access_count long, properties map<string,string>"
+    "access_count long, properties map"
 )
-CLUSTERS = _schema("user_id string, memory_id string, cluster_id long, summary string, entities array<string>, edges array<string>, importance double, coherence_score double, density double, algorithm string")
-CHUNKS = _schema("doc_id string, chunk_index int, content string, start_char int, end_char int, modality string, metadata map<string,string>")
-EVENT_LOG = _schema("id string, evolution_type string, user_id string, memory_id string, affected_nodes array<string>, affected_edges array<string>, before map<string,string>, after map<string,string>, reason string, ts timestamp")
+CLUSTERS = _schema("user_id string, memory_id string, cluster_id long, summary string, entities texts, edges texts, importance double, coherence_score double, density double, algorithm string")
+CHUNKS = _schema("doc_id string, chunk_index int, content string, start_char int, end_char int, modality string, metadata map")
+EVENT_LOG = _schema("id string, evolution_type string, user_id string, memory_id string, affected_nodes texts, affected_edges texts, before map, after map, reason string, ts timestamp")
 CACHE = _schema("key string, user_id string, memory_id string, value string, expires_at timestamp")
 TABLES = {"nodes": NODES, "edges": EDGES, "clusters": CLUSTERS, "events": EVENT_LOG, "cache": CACHE}
 KEYS = {"nodes": ["id"], "edges": ["id"], "clusters": ["cluster_id"], "events": ["id"], "cache": ["key"]}
