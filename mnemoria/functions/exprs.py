@@ -114,7 +114,7 @@ def in_tenant(user_id: str, column="user_id") -> Column:
 
 
 def valid_text(*columns: str) -> Column:
-    return F.length(F.trim(F.coalesce(*[F.col(c) for c in columns], F.lit("")))) > 0
+    return F.coalesce(*[F.col(c) for c in columns], F.lit("")).rlike(r"\S")
 
 
 def matches_filters(filters: dict, properties="properties") -> Column:

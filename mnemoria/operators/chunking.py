@@ -164,7 +164,7 @@ def sentences(docs: DataFrame, size: int = 2048, overlap: int = 200, id_col: str
 
 def split_numbered(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, part, content) of a text cut at a pattern (``Document \\d+:``, ``Dialogue \\d+:``, ``\\d+\\.``); blank parts are left out."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), pattern), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.col(text_col), pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) > 0)
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("part", "content")).withColumn("part", F.col("part") + 1)
 
 

@@ -47,7 +47,7 @@ def live_edges(spark, sf):
     return P.hierarchy_edges(spark, sf).where(X.live_edge()).select("id", "importance", "state")
 
 
-@query("select doc_id, length(text) as n from documents where length(trim(coalesce(text, ''))) > 0")
+@query("select doc_id, length(text) as n from documents where regexp_matches(coalesce(text, ''), '\\S')")
 def valid_docs(spark, sf):
     return table(spark, sf, "documents").where(X.valid_text("text")).select("doc_id", F.length("text").cast("long").alias("n"))
 
@@ -682,7 +682,7 @@ def cache_live_entries(spark, sf):
     return live_entries(rows, F.lit("2024-01-15").cast("timestamp"), invalidated=[("tenant", "u1")]).select("event_id", "user_id")
 
 
-@query("select source, count(*) as n_docs, count(*) filter (length(trim(coalesce(text, ''))) > 0) as n_valid, sum(length(coalesce(text, '')))::bigint as n_chars from documents group by 1")
+@query("select source, count(*) as n_docs, count(*) filter (regexp_matches(coalesce(text, ''), '\\S')) as n_valid, sum(length(coalesce(text, '')))::bigint as n_chars from documents group by 1")
 def ingest_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(X.valid_text("text")).alias("n_valid"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
 
