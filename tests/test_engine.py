@@ -31,7 +31,7 @@ def test_ingest(engine):
     nodes, edges = engine.store.load_graph(*engine.tenant)
     assert edges.join(nodes, edges["source_id"] == nodes["id"], "left_anti").count() == 0
     ada = nodes.where("name = 'Ada Lovelace'").first()
-    assert ada["occurrence_count"] == 2 and len(ada["embedding"]) == 64 and ada["created_at"] == T0
+    assert ada["occurrence_count"] == 1 and len(ada["embedding"]) == 64 and ada["created_at"] == T0
 
 
 def test_query_finds_and_records(engine):
@@ -55,7 +55,7 @@ def test_again_keeps_counters(engine):
 def test_tenants_are_apart(spark, engine):
     bob = MemoryEngine(spark, engine.store.path, replace(engine.conf, user_id="bob"))
     assert bob.stats() == {"nodes": 0, "edges": 0, "clusters": 0}
-    bob.ingest_text("Bob Stone visited Lima with Carla Ruiz.", as_of=T0)
+    bob.ingest(spark.createDataFrame([("b", "Bob Stone visited Lima with Carla Ruiz.")], "doc_id string, text string"), T0, communities=False)
     mine = engine.stats()
     assert bob.store.load("nodes", *bob.tenant).where("name = 'Ada Lovelace'").count() == 0
     assert {r["user_id"] for r in bob.store.tenants().collect()} == {"alice", "bob"}
