@@ -166,7 +166,7 @@ class MemoryEngine:
         if back.isEmpty():
             return 0
         at = self._at(as_of)
-        links = scoring.rehydrate_edges(edges, back).withColumn("updated_at", at)
+        links = cut(scoring.rehydrate_edges(edges, back).withColumn("updated_at", at))  # before the nodes it reads are replaced
         self.store.upsert("nodes", back.drop("score", "restored").withColumn("updated_at", at))
         if not links.isEmpty():
             self.store.upsert("edges", links)
