@@ -247,6 +247,16 @@ class Lines:
         a, e = self.first[i], self.first[i + 1]
         return b" ".join(bytes(self.w.buf[s:t]) for s, t in zip(self.w.start[a:e], self.w.end[a:e])).decode("utf-8", "replace")
 
+    def forms(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all normal forms, and where each line's begins; ``size`` says how long it is."""
+        w = self.w
+        ends = np.cumsum(w.end - w.start + 1)
+        blank = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+        blank[ends - 1] = True
+        out = np.full(len(blank), 32, np.uint8)
+        out[~blank] = w.buf[IS_WORD[w.buf]]
+        return out, np.concatenate(([0], ends))[self.first[:-1]]
+
     def simhash(self) -> np.ndarray:
         """64 SimHash bits of each line's distinct words."""
         h, first = distinct_by_row(self.w.hash, np.repeat(np.arange(len(self.row)), self.words), len(self.row))

@@ -368,3 +368,24 @@ def test_quality_rules_one_by_one():
     }
     bad, _ = quality_rules.failing("\n".join(lines))
     assert dict(zip(lines, bad.tolist())) == lines
+
+
+def test_line_dedup_finds_similar_lines(spark):
+    """Recall over all pairs of edit similarity 0.9, without a condition on signatures."""
+    rng = random.Random(9)
+    forms = []
+    for _ in range(80):
+        s = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(4, 25)))
+        t = list(s)
+        for _ in range(rng.randint(1, len(s) // 10)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefghijklmnop")
+        forms += [s, " ".join("".join(t).split())]
+    forms = [f for f in forms if len(f) >= line_dedup.MIN_BYTES]
+    root = brute.line_groups([(f, 0) for f in forms], 0, 0.9)
+    want = {i for i, r in enumerate(root) if i != r}
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = {r["id"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
+    words = " ".join(rng.choice(VOCABULARY) for _ in range(30))
+    docs = spark.createDataFrame([(1, words), (2, words[:50] + "z" + words[51:])], "doc_id long, text string")
+    assert [r["id"] for r in line_dedup.duplicate_lines(docs).collect()] == [2]
