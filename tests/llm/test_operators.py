@@ -389,3 +389,9 @@ def test_line_dedup_finds_similar_lines(spark):
     words = " ".join(rng.choice(VOCABULARY) for _ in range(30))
     docs = spark.createDataFrame([(1, words), (2, words[:50] + "z" + words[51:])], "doc_id long, text string")
     assert [r["id"] for r in line_dedup.duplicate_lines(docs).collect()] == [2]
+
+
+def test_line_dedup_collapses_short_lines(spark):
+    docs = [(1, "All rights reserved\n版权所有不得转载本站文章内容"), (2, "all RIGHTS reserved!\n---\nok\n版权所有不得转载本站文章内容\nOK\n---")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: docs[0][1], 2: "---\nok\n---"}
