@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from mnemoria.llm import kernel as K
 from mnemoria.llm.cluster import same_document, unwrapped, whole_rows
 
-MIN_WORDS = 40
+MIN_WORDS = 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _CLOSE = np.zeros(256, bool)

@@ -96,6 +96,16 @@ def test_span_dedup_equals_every_run(spark):
         assert brute.words(r["text"]) == [w for n, s in enumerate(all_) if n not in gone[key] for w in s]
 
 
+def test_passages_cut_inside_sentences_lose_their_spans(spark):
+    rng = random.Random(5)
+    docs = []
+    for n in range(10):
+        words = " ".join(" ".join(sentence(rng, 14) for _ in range(5)).split(" ")[8:60])  # begins and ends in mid-sentence
+        docs += [(2 * n + k, f"{sentence(rng, 9)} {sentence(rng, 4)[:-1]} {words} {sentence(rng, 6)}") for k in (0, 1)]
+    out = span_dedup.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == set(range(1, 20, 2))
+
+
 # 3 sorted-string tables
 
 
