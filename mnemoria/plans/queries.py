@@ -520,6 +520,13 @@ def exact_name_match(spark, sf):
     return retrieve.exact_matches(named_nodes(spark, sf), questions(spark, sf))
 
 
+@query()
+def exact_name_match_all(spark, sf):
+    """exact_name_match over every node: parts, customers and suppliers too."""
+    nodes = P.hierarchy_nodes(spark, sf).select("id", "name", F.col("name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    return retrieve.exact_matches(nodes, questions(spark, sf))
+
+
 @query()
 def potential_names(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(N.potential_names("text"), "|").alias("names"))
