@@ -484,6 +484,12 @@ def pagerank(spark, sf):
     return graph.pagerank(P.hierarchy_nodes(spark, sf), P.trade_edges(spark, sf), iterations=4, tolerance=0).withColumn("rank", r6("rank"))
 
 
+@query()
+def pagerank_converged(spark, sf):
+    """pagerank to the operator's tolerance."""
+    return graph.pagerank(P.hierarchy_nodes(spark, sf), P.trade_edges(spark, sf)).withColumn("rank", r6("rank"))
+
+
 def _label_sql(rounds: int) -> str:
     out = f"with {P.HIERARCHY}, {P.TRADE}, u as materialized (select source_id as a, target_id as b from te union select target_id, source_id from te), l0 as (select id, id as label from hn)"
     for i in range(rounds):
@@ -496,6 +502,12 @@ def label_propagation(spark, sf):
     return graph.label_propagation(P.hierarchy_nodes(spark, sf), P.trade_edges(spark, sf), 2)
 
 
+@query()
+def label_propagation_full(spark, sf):
+    """label_propagation with the operator's own rounds, or until nothing changes."""
+    return graph.label_propagation(P.hierarchy_nodes(spark, sf), P.trade_edges(spark, sf))
+
+
 @query()
 def communities(spark, sf):
     return graph.communities(P.hierarchy_nodes(spark, sf), P.hierarchy_edges(spark, sf), "greedy_modularity", most=10_000)
