@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoria.functions import exprs as X
@@ -729,3 +729,24 @@ def answer_f1(spark, sf):
 def task_metrics(spark, sf):
     results = evaluate.answer_metrics(predictions(spark, sf), ["doc_id", "source", "latency_ms"]).withColumnRenamed("source", "task")
     return evaluate.task_metrics(results).select("task", "n", *[r6(c).alias(c) for c in ("exact_match", "f1", "substring_match", "p50_latency")])
+
+
+def all_predictions(spark, sf) -> DataFrame:
+    """Every document with one item of the whole benchmark: items are numbered by id, from 0."""
+    items = table(spark, sf, "benchmark").select(F.col("text").alias("truth"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))
+    size = table(spark, sf, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf, "documents").crossJoin(F.broadcast(size))
+    return docs.select("doc_id", "source", F.col("text").alias("prediction"), F.col("n_chars").cast("double").alias("latency_ms"), F.pmod("doc_id", "n").alias("k")).join(items, "k")
+
+
+@query()
+def answer_f1_all(spark, sf):
+    """answer_f1 over all items."""
+    return evaluate.answer_metrics(all_predictions(spark, sf), ["doc_id"]).withColumn("f1", r6("f1"))
+
+
+@query()
+def task_metrics_all(spark, sf):
+    """task_metrics over all items."""
+    results = evaluate.answer_metrics(all_predictions(spark, sf), ["doc_id", "source", "latency_ms"]).withColumnRenamed("source", "task")
+    return evaluate.task_metrics(results).select("task", "n", *[r6(c).alias(c) for c in ("exact_match", "f1", "substring_match", "p50_latency")])
