@@ -68,6 +68,25 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()) if state[0] else spark.createDataFrame([], nodes.schema)
 
 
+FILTER_BITS = 26  # log2 of the bits of a filter: 8 MB however many keys there are
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash over the only column, 64-bit hashes: 2**FILTER_BITS bits, so that its size never
+    grows.  More keys let more strangers pass; whoever uses it joins with the keys afterwards."""
+    k = keys.columns[0]
+    words = keys.select(F.shiftrightunsigned(k, 6).bitwiseAND((1 << (FILTER_BITS - 6)) - 1).cast("int").alias("word"), F.col(k).bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U)
+    return out
+
+
+def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(U)
+    return (bits[((h >> U(6)) & U(len(bits) - 1)).astype(np.int64)] >> (h & U(63))) & U(1) > 0
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows sorted by key in, tables of whole runs of equal keys out; a run is never split."""
     held: list[pa.RecordBatch] = []

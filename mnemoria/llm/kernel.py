@@ -124,12 +124,28 @@ class Words:
             self.hash = span_hash(self.buf, self.start, self.end)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span, equal for equal bytes wherever they stand."""
+def byte_sums(buf: np.ndarray) -> np.ndarray:
+    """Running sums of the polynomial of ``buf``, from which ``gram_hash`` reads any span's hash."""
     n = len(buf)
     sums = np.zeros(n + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * powers(P, n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(P_INV, n + 1)[start])
+    return sums
+
+
+def gram_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hash`` of spans of the bytes that ``byte_sums`` has seen."""
+    return mix((sums[end] - sums[start]) * powers(P_INV, len(sums))[start])
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte span, equal for equal bytes wherever they stand."""
+    return gram_hash(byte_sums(buf), start, end)
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions start..start+size of every range, one after the other, and the range of each."""
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.asarray(start)[own], own
 
 
 def run_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -257,7 +273,8 @@ class Lines:
         out[~blank] = w.buf[IS_WORD[w.buf]]
         return out, np.concatenate(([0], ends))[self.first[:-1]]
 
-    def simhash(self) -> np.ndarray:
-        """64 SimHash bits of each line's distinct words."""
-        h, first = distinct_by_row(self.w.hash, np.repeat(np.arange(len(self.row)), self.words), len(self.row))
-        return simhash(h, first, 1)[:, 0]
+    def simhash(self, some: np.ndarray, words: int) -> np.ndarray:
+        """SimHash of the distinct words of the lines ``some``, in ``words`` integers of 64 bits."""
+        at, row = ranges(self.first[some], self.words[some])
+        h, first = distinct_by_row(self.w.hash[at], row, len(some))
+        return simhash(h, first, words)

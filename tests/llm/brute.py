@@ -103,15 +103,14 @@ def near_groups(sigs: list[bytes], k: int) -> list[int]:
     return grouped(len(v), ((i, j) for i in range(len(v)) for j in range(i) if (v[i] ^ v[j]).bit_count() <= k))
 
 
-def line_groups(lines: list[tuple[str, int]], bits: int, least: float) -> list[int]:
-    """Components of (normal form, SimHash) pairs that are within ``bits`` bits and of edit similarity ``least``."""
+def line_groups(forms: list[str], least: float, min_bytes: int = 20) -> list[int]:
+    """Components of normal forms that are equal, or have ``min_bytes`` bytes and edit similarity ``least``."""
 
     def near(a, b):
-        x, y = (a[0].split(" "), b[0].split(" ")) if max(len(a[0]), len(b[0])) > 2000 else (a[0], b[0])
-        most = (1 - least) * max(len(x), len(y)) + 1e-9
-        return (a[1] ^ b[1]).bit_count() <= bits and abs(len(x) - len(y)) <= most and edit(x, y) <= most
+        most = (1 - least) * max(len(a), len(b)) + 1e-9
+        return a == b or min(len(a.encode()), len(b.encode())) >= min_bytes and abs(len(a) - len(b)) <= most and edit(a, b) <= most
 
-    return grouped(len(lines), ((i, j) for i in range(len(lines)) for j in range(i) if near(lines[i], lines[j])))
+    return grouped(len(forms), ((i, j) for i in range(len(forms)) for j in range(i) if near(forms[i], forms[j])))
 
 
 UNITS = set("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces t ton tons tonnes ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hrs hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros usd eur gbp degree degrees celsius fahrenheit watt watts kw volt volts hz mb gb kb".split())

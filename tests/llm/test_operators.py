@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from mnemoria.llm import decontaminate, kernel, language_id, license_scan, line_dedup, quality_rules, registry, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
+from mnemoria.llm import decontaminate, edits, kernel, language_id, license_scan, line_dedup, quality_rules, registry, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
 from mnemoria.llm.license_texts import TEMPLATES
 from tests.llm import brute
 from tests.oracle import connect, rows_of
@@ -293,13 +293,11 @@ def test_line_dedup_equals_all_pairs(spark):
     for i, t in docs:
         if not t:
             continue
-        lines = kernel.Lines(kernel.Words(kernel.lower(pa.array([t]))))
-        sig = lines.simhash()
-        for n in range(len(lines.row)):
-            if lines.words[n] >= 4 and lines.size[n] >= 20:
+        for n, line in enumerate(t.split("\n")):
+            if w := brute.words(line):
                 place.append((i, n))
-                form.append((lines.text(n), int(sig[n])))
-    root = brute.line_groups(form, 3, 0.9)
+                form.append(" ".join(w))
+    root = brute.line_groups(form, 0.9)
     want = {place[n] for n, r in enumerate(root) if n != r}
     got = {(r["id"], r["line"]) for r in line_dedup.duplicate_lines(frame).collect()}
     assert got == want and want
@@ -308,11 +306,38 @@ def test_line_dedup_equals_all_pairs(spark):
         assert kept[i] == (t and "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
 
 
-def test_edit_distance():
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "日本語éa"])
+def test_edit_distances(letters):
+    """Pairs one by one and many at once, on both sides of a block's 64 characters."""
     rng = random.Random(8)
-    for _ in range(200):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
-        assert line_dedup.distance(a, b) == brute.edit(a, b)
+    a, b = [], []
+    for n in range(150):
+        x = [rng.choice(letters) for _ in range(rng.randint(0, 12) if n < 50 else rng.randint(40, 150))]
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 6))):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = rng.choice(([], [rng.choice(letters)]))
+        a.append("".join(x))
+        b.append("".join(y))
+    want = [brute.edit(x, y) for x, y in zip(a, b)]
+    assert [edits.distance(x, y) for x, y in zip(a, b)] == want
+    some = [n for n in range(150) if a[n] and b[n]]
+    assert edits._together([edits.codes(a[n]) for n in some], [edits.codes(b[n]) for n in some]).tolist() == [want[n] for n in some]
+    near = edits.similar_pairs(a + b, np.arange(150), np.arange(150, 300), 0.9).tolist()
+    assert near == [d <= 0.1 * max(len(x), len(y)) + 1e-9 for x, y, d in zip(a, b, want)] and 0 < sum(near) < 150
+
+
+@pytest.mark.parametrize("size", [1000, 1024, 1100, 1990, 2010, 5000])
+def test_edit_similarity_is_one_measure_at_every_length(size):
+    rng = random.Random(size)
+    x = [rng.choice("abcdefgh ") for _ in range(size)]
+    y = list(x)
+    for at in rng.sample(range(size), size // 10):
+        y[at] = "z"
+    assert edits.similar("".join(x), "".join(y), 0.9)
+    for at in [n for n in range(size) if y[n] != "z"][:3]:
+        y[at] = "z"
+    assert not edits.similar("".join(x), "".join(y), 0.9)
 
 
 # 8 sharding
@@ -391,7 +416,7 @@ def test_line_dedup_finds_similar_lines(spark):
             t[rng.randrange(len(t))] = rng.choice("abcdefghijklmnop")
         forms += [s, " ".join("".join(t).split())]
     forms = [f for f in forms if len(f) >= line_dedup.MIN_BYTES]
-    root = brute.line_groups([(f, 0) for f in forms], 0, 0.9)
+    root = brute.line_groups(forms, 0.9)
     want = {i for i, r in enumerate(root) if i != r}
     docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
     got = {r["id"] for r in line_dedup.duplicate_lines(docs).collect()}
@@ -405,3 +430,46 @@ def test_line_dedup_collapses_short_lines(spark):
     docs = [(1, "All rights reserved\n版权所有不得转载本站文章内容"), (2, "all RIGHTS reserved!\n---\nok\n版权所有不得转载本站文章内容\nOK\n---")]
     out = {r["doc_id"]: r["text"] for r in line_dedup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {1: docs[0][1], 2: "---\nok\n---"}
+
+
+def test_line_dedup_compares_crowded_buckets_by_parts(spark, monkeypatch):
+    """A template's lines share all their blocks: the groups are those of all pairs, in one part or in several, split or whole."""
+    rng = random.Random(10)
+    words = [rng.choice(VOCABULARY) for _ in range(12)]
+    forms = [" ".join([*words[:6], "".join(rng.choice("abcdefghij") for _ in range(rng.choice((2, 12)))), *words[6:]]) for _ in range(150)]
+    forms = list(dict.fromkeys(forms))
+    root = brute.line_groups(forms, 0.9)
+    want = {i for i, r in enumerate(root) if i != r}
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    assert {r["id"] for r in line_dedup.duplicate_lines(docs).collect()} == want and 50 < len(want) < len(forms) - 1
+    probed = [b for b in line_dedup._probe(np.zeros(0, np.uint64), np.zeros(0, np.uint64))(iter([pa.RecordBatch.from_pydict({"text": forms})]))]
+    rows = pa.Table.from_batches(probed).sort_by([("bucket", "ascending"), ("size", "ascending")]).combine_chunks().to_batches()
+    monkeypatch.setattr(line_dedup, "PART", 20)
+    met = set()
+    linked = pa.Table.from_batches(line_dedup._link(iter(rows))).to_pylist()
+    parts = {}
+    for r in linked:
+        if r["part"] is not None:
+            parts.setdefault(r["part"], set()).add(r["a"])
+        else:
+            met.add((r["a"], r["b"]))
+    assert parts and max(map(len, parts.values())) <= 40
+    met |= {(x, y) for p in parts.values() for x in p for y in p if x < y}
+    lines = kernel.Lines(kernel.Words(pa.array(forms)))
+    h = {x: k for k, x in enumerate(line_dedup._hashes(lines, np.arange(len(forms)), False)[0].view(np.int64).tolist())}
+    assert len(h) == len(forms) and lines.words.min() == 13
+    root = brute.grouped(len(forms), ((h[x], h[y]) for x, y in met if edits.similar(forms[h[x]], forms[h[y]], 0.9)))
+    assert {i for i, r in enumerate(root) if i != r} == want
+
+
+def test_line_dedup_splits_hot_buckets(spark):
+    """With a bound of 4 lines every bucket of these counts as hot; equal and very similar lines are found all the same."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choice(VOCABULARY) for _ in range(14)) for _ in range(40)]
+    texts = [s for s in base for _ in range(8)]
+    texts = [f"{t[:n]}z{t[n + 1 :]}" for t in texts for n in (rng.randrange(len(t)),)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"] for r in line_dedup.duplicate_lines(docs, hot=4).collect()}
+    root = brute.line_groups(texts, 0.9)
+    want = {i for i, r in enumerate(root) if i != r}
+    assert got <= want and len(got) >= 0.9 * len(want)
