@@ -87,6 +87,14 @@ def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[((h >> U(6)) & U(len(bits) - 1)).astype(np.int64)] >> (h & U(63))) & U(1) > 0
 
 
+def touched(rows: DataFrame, keys: DataFrame, column: str = "th") -> tuple[DataFrame, DataFrame]:
+    """rows in two: those whose ``column`` (64-bit) may be among the only column of keys, and those where it isn't.
+    Only the first need a join, so rows that nothing happens to are never shuffled."""
+    bits = bit_filter(keys)
+    near = F.arrow_udf(lambda h: pa.array(passing(bits, h.to_numpy(zero_copy_only=False))), "boolean")
+    return rows.where(near(column)), rows.where(~near(column))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows sorted by key in, tables of whole runs of equal keys out; a run is never split."""
     held: list[pa.RecordBatch] = []

@@ -1,15 +1,19 @@
 """Substring dedup over sliding runs of consecutive sentences.
 
 A sentence ends at ``. ! ?`` (and a closing quote or bracket) before white space, and at a line's end; one
-without a word belongs to the sentence before it.  The spans of a text are, for every sentence, the
-shortest run of whole sentences that begins there and has ``MIN_WORDS`` words or more, and the
-shortest such run that ends there: any repeated passage of whole sentences with that many words
-consists of them.  Spans are equal when their lower-cased words are.  Of each repeated span the
-occurrence with the least (id, text hash, place) is the first; sentences that any other occurrence
-covers are removed.
+without a word belongs to the sentence before it.  The spans of a text are runs of several consecutive
+sentences: for every sentence the shortest run of two or more that begins there and has ``MIN_WORDS`` words or
+more, and the shortest such run that ends there; any longer repeated run consists of them.  A sentence of
+``ALONE`` words or more is a span by itself.  Spans are equal when their lower-cased words are, by a hash of
+128 bits.  Of each repeated span the occurrence with the least (id, text hash, place) is the first; sentences
+that any other occurrence covers are removed.
 
-Spans are shuffled once, by hash, as 40-byte rows; each partition is sorted and streamed, so a span
-with any number of occurrences needs no memory.  Only documents that lose sentences are rebuilt.
+A passage that begins and ends inside sentences is found by the whole sentences in it, which is why MIN_WORDS is low.
+
+Scale.  First only span hashes travel, counted once within each batch and again before the shuffle, so
+that a span with a third of all occurrences is one row a task.  The hashes that occur again become a
+filter of fixed size, and only their spans are emitted with ids and places; their firsts are an
+aggregation with partial results, joined back under skew handling.  Only documents that lose sentences are shuffled.
 
 Defined cases.  Null and empty texts, and texts of fewer than MIN_WORDS words, have no spans and
 never change.  Rows equal in id and text are one document and share its fate; rows equal in id only
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoria.llm import kernel as K
-from mnemoria.llm.cluster import same_document, unwrapped, whole_rows
+from mnemoria.llm.cluster import bit_filter, cut, passing, same_document, touched, unwrapped, whole_rows
 
-MIN_WORDS = 16
+MIN_WORDS, ALONE = 16, 40
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _CLOSE = np.zeros(256, bool)
@@ -49,63 +53,62 @@ def sentence_starts(w: K.Words) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def spans(w: K.Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(w: K.Words, least: int, alone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentence bounds (n+1 word indices), each row's first sentence (rows+1), and the spans: begin, end sentence, hash."""
     s = sentence_starts(w)
     bound = np.append(s, len(w.start))
     first = np.searchsorted(s, w.first)
     n = len(s)
-    row = w.row[s] if n else np.zeros(0, np.int64)
+    if not n:
+        return bound, first, s, s, np.zeros(0, K.U)
+    row = w.row[s]
     i = np.arange(n)
-    ahead = np.searchsorted(bound, bound[:-1] + least)
-    fit = ahead <= first[row + 1] if n else np.zeros(0, bool)
-    j = i + 1
-    back = np.searchsorted(bound, bound[1:] - least, "right") - 1
-    fits = (back >= first[row]) & (bound[1:] >= least) if n else np.zeros(0, bool)
-    pair = np.unique(np.concatenate((i[fit] * (n + 1) + ahead[fit], back[fits] * (n + 1) + j[fits])))
+    ahead = np.maximum(np.searchsorted(bound, bound[:-1] + least), i + 2)
+    fit = ahead <= first[row + 1]
+    back = np.minimum(np.searchsorted(bound, bound[1:] - least, "right") - 1, i - 1)
+    fits = back >= first[row]
+    long = np.flatnonzero(np.diff(bound) >= alone)
+    pair = np.unique(np.concatenate((i[fit] * (n + 1) + ahead[fit], back[fits] * (n + 1) + i[fits] + 1, long * (n + 1) + long + 1)))
     a, e = pair // (n + 1), pair % (n + 1)
     return bound, first, a, e, K.run_hash(w.hash, bound[a], bound[e])
 
 
-def _emit(least: int):
+def _count(least: int, alone: int):
+    """mapInArrow function: (h, n), how often each span hash occurs in a piece of a batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = K.lower(batch.column("text"))
+            for x, y in K.chunks(text):
+                h, n = np.unique(spans(K.Words(text[x:y]), least, alone)[4], return_counts=True)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    return count
+
+
+def _emit(least: int, alone: int, bits: np.ndarray):
+    """mapInArrow function: (h, g, id, th, place) of the spans whose hash h passes the filter; g is a second hash."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = K.lower(batch.column("text"))
             for x, y in K.chunks(text):
                 w = K.Words(text[x:y])
-                bound, first, a, e, h = spans(w, least)
-                if not len(a):
+                bound, first, a, e, h = spans(w, least, alone)
+                some = np.flatnonzero(passing(bits, h))
+                if not len(some):
                     continue
+                a, e, h = a[some], e[some], h[some]
+                g = K.run_hash(K.mix(w.hash, 3), bound[a], bound[e])
                 row = w.row[bound[a]]
                 part = batch.select(["id", "th"]).slice(x, y - x).take(pa.array(row))
                 place = ((a - first[row]) << 32) | (e - first[row])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("id"), part.column("th"), pa.array(place)], ["h", "id", "th", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("id"), part.column("th"), pa.array(place)], ["h", "g", "id", "th", "place"])
 
     return emit
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, id, th, place) in; every row but a hash's first, with that first's id, out."""
-    held = None  # the first row of the hash at the end of the last batch
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h = batch.column("h").to_numpy()
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        top = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        held = batch.slice(int(top[-1]), 1)
-        rest = np.flatnonzero(~new)
-        if len(rest):
-            row, first = batch.take(pa.array(rest)), batch.take(pa.array(top[rest]))
-            same = (row.column("th").to_numpy() == first.column("th").to_numpy()) & (row.column("place").to_numpy() == first.column("place").to_numpy())
-            for i in np.flatnonzero(same).tolist():
-                same[i] = row.column("id")[i].as_py() == first.column("id")[i].as_py()
-            keep = pa.array(~same)
-            yield pa.RecordBatch.from_arrays([row.column("id"), row.column("th"), row.column("place"), first.column("id")], ["id", "th", "place", "first_id"]).filter(keep)
-
-
 def _cut(extra: list[str], place: int):
     """mapInArrow function: documents with their repeated spans in ``__spans``; sentences those cover go."""
 
@@ -140,33 +143,38 @@ def _cut(extra: list[str], place: int):
     return cut
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
     """(id, th, spans, first_ids) of the documents with spans that occur before: places packed as
     begin << 32 | end sentence, and the ids of the documents with the first occurrences."""
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    kind = own.schema["id"]
-    rows = own.mapInArrow(K.tidy(_emit(least)), T.StructType([T.StructField("h", T.LongType()), kind, *T._parse_datatype_string("th long, place long").fields]))
-    rows = rows.repartition("h").sortWithinPartitions("h", "id", "th", "place")
-    again = rows.mapInArrow(K.tidy(_repeats), T.StructType([kind, *T._parse_datatype_string("th long, place long").fields, T.StructField("first_id", kind.dataType)]))
-    return again.groupBy("id", "th").agg(F.collect_set("place").alias("spans"), F.collect_set("first_id").alias("first_ids"))
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, first_doc_ids, text, n_sentences, n_removed) of every document that loses sentences; text is what stays."""
-    hit = repeated(docs, id_col, text_col, least)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("__th", F.xxhash64("text"))
-    both = own.join(hit, own["doc_id"].eqNullSafe(hit["id"]) & (own["__th"] == hit["th"]))
-    both = both.select("doc_id", F.array_sort("first_ids").alias("first_doc_ids"), "text", F.col("spans").alias("__spans"))
+    own = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    counted = own.select("text").mapInArrow(K.tidy(_count(least, alone)), "h long, n int")
+    again = cut(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    bits = bit_filter(again)
+    rows = own.mapInArrow(K.tidy(_emit(least, alone, bits)), T.StructType([*T._parse_datatype_string("h long, g long").fields, own.schema["id"], *T._parse_datatype_string("th long, place long").fields]))
+    rows = cut(rows)
+    place = F.struct("id", "th", "place")
+    firsts = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = rows.join(firsts, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("id", "th").agg(F.collect_set("place").alias("spans"), F.collect_set("first.id").alias("first_ids"))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
+    """(doc_id, first_doc_ids, text, n_sentences, n_removed) of every document that loses sentences; text is what
+    stays.  A first occurrence in a document whose id is null has no entry in first_doc_ids."""
+    hit = cut(repeated(docs, id_col, text_col, least, alone)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans", "first_ids")
+    own = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    own = touched(own, hit.select("__th"))[0]
+    both = own.join(hit, same_document(own, hit)).select(F.col("id").alias("doc_id"), F.array_sort("first_ids").alias("first_doc_ids"), "text", F.col("spans").alias("__spans"))
     return both.mapInArrow(K.tidy(_cut(["counts"], 2)), T.StructType([*both.schema.fields[:3], *T._parse_datatype_string("n_sentences long, n_removed long").fields]))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
     """docs without the sentences that repeated spans cover, with their own columns."""
-    hit = repeated(docs, id_col, text_col, least).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans")
-    rows = whole_rows(docs, id_col, text_col)
-    both = rows.join(hit, same_document(rows, hit), "left")
+    hit = cut(repeated(docs, id_col, text_col, least, alone)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans")
+    near, rest = touched(whole_rows(docs, id_col, text_col), hit.select("__th"))
+    both = near.join(hit, same_document(near, hit), "left")
     text = F.col("row").getField(text_col).cast("string")
     changed = both.where("spans is not null").select("row", text.alias("text"), F.col("spans").alias("__spans"))
     changed = changed.mapInArrow(K.tidy(_cut([], 1)), T.StructType(changed.schema.fields[:2]))
     changed = changed.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
-    return unwrapped(both.where("spans is null"), docs.columns).unionByName(changed)
+    return unwrapped(rest, docs.columns).unionByName(unwrapped(both.where("spans is null"), docs.columns)).unionByName(changed)

@@ -72,8 +72,9 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def repeated_sentences(docs: list[tuple], least: int) -> dict[tuple, set[int]]:
-    """(id, text) -> numbers of the sentences that any non-first occurrence of a run of ``least`` words or more covers.
+def repeated_sentences(docs: list[tuple], least: int, alone: int) -> dict[tuple, set[int]]:
+    """(id, text) -> numbers of the sentences that any non-first occurrence of a run of two sentences or more and
+    ``least`` words, or of a sentence of ``alone`` words, covers.
 
     Every run of whole sentences is looked at; equal (id, text) rows are one document.
     """
@@ -86,7 +87,7 @@ def repeated_sentences(docs: list[tuple], least: int) -> dict[tuple, set[int]]:
             run: list[str] = []
             for e in range(a + 1, len(s) + 1):
                 run = run + s[e - 1]
-                if len(run) >= least:
+                if len(run) >= (alone if e == a + 1 else least):
                     seen.setdefault(tuple(run), []).append((key, a, e))
     order = {k: n for n, k in enumerate(sorted(every, key=lambda k: (k[0] is not None, k[0] or 0)))}
     gone: dict[tuple, set[int]] = {}

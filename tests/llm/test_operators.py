@@ -81,10 +81,11 @@ def passages():
     return docs + [docs[3], (50, docs[3][1]), (51, ""), (52, None), (None, shared[0])]
 
 
-def test_span_dedup_equals_every_run(spark):
+@pytest.mark.parametrize("least, alone", [(span_dedup.MIN_WORDS, span_dedup.ALONE), (20, 20), (9, 12)])
+def test_span_dedup_equals_every_run(spark, least, alone):
     docs = passages()
-    gone = brute.repeated_sentences(docs, 20)
-    out = span_dedup.removals(spark.createDataFrame(docs, "doc_id long, text string"), least=20).collect()
+    gone = brute.repeated_sentences(docs, least, alone)
+    out = span_dedup.removals(spark.createDataFrame(docs, "doc_id long, text string"), least=least, alone=alone).collect()
     text_of = {}
     for i, t in docs:
         text_of.setdefault(i, t)
