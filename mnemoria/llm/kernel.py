@@ -258,10 +258,12 @@ class Lines:
         sums = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
         self.size = np.maximum(np.diff(sums[self.first]) - 1, 0)
 
-    def text(self, i: int) -> str:
-        """The normal form of line i."""
-        a, e = self.first[i], self.first[i + 1]
-        return b" ".join(bytes(self.w.buf[s:t]) for s, t in zip(self.w.start[a:e], self.w.end[a:e])).decode("utf-8", "replace")
+    def texts(self, some: np.ndarray) -> pa.Array:
+        """The normal forms of the lines ``some``."""
+        form, begin = self.forms()
+        at, _ = ranges(begin[some], self.size[some])
+        off = np.concatenate(([0], np.cumsum(self.size[some]))).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(form[at].tobytes())])
 
     def forms(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all normal forms, and where each line's begins; ``size`` says how long it is."""
