@@ -151,7 +151,8 @@ def bucket_links(key: np.ndarray, sig: np.ndarray, k: int, cap: int, extra: int,
 
     Small buckets compare every pair, larger ones search by ``within``.  A bucket above ``cap``
     is split by ``extra`` more sampled bits in ``draws`` independent ways; where that doesn't
-    split it (a cluster of close copies), ``within`` handles it exactly.  Nothing is dropped.
+    split it (a cluster of close copies), ``within`` handles it exactly.  A pair at distance d is in
+    one piece of a split with probability ``1 - (1 - (1 - d/bits)**extra)**draws``.
     """
     n = len(key)
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.zeros(0, int)

@@ -3,8 +3,8 @@
 A text is its lower-cased words.  Of every ``WINDOW`` consecutive ``GRAM``-word hashes of a template
 the least is a fingerprint, so any shared run of GRAM + WINDOW - 1 words has one; an inverted index
 maps fingerprints to (template, place).  All GRAM-word hashes of a document are looked up in it.  Hits of
-a template whose shifts (place in the document less place in the template) are within its band are one
-candidate if they are at least ``MIN_SHARE`` of its fingerprints.
+a template whose shifts (place in the document less place in the template) are within its band, none of whose
+places recurs, are one candidate if they are at least ``MIN_SHARE`` of its fingerprints.
 
 A candidate is aligned: the whole template with a free part of the document, shifts limited to the band,
 +2 for an equal word, -1 for a changed, added or missing one; ``<>`` in a template gives the band that many
@@ -137,6 +137,12 @@ def _candidates(row: np.ndarray, template: np.ndarray, place: np.ndarray, shift:
         least = max(1.0, MIN_SHARE * len(t.prints))
         while s < e:
             end = s + int(np.searchsorted(shift[s:e], shift[s] + t.band, "right"))
+            seen: set[int] = set()
+            for k, p in enumerate(place[s:end].tolist(), s):  # a place met again is the next copy's
+                if p in seen:
+                    end = k
+                    break
+                seen.add(p)
             if end - s >= least and len(np.unique(place[s:end])) >= least:
                 yield int(template[s]), int(row[s]), int(shift[s])
             s = end

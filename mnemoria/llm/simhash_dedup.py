@@ -8,7 +8,9 @@ components of such pairs; the least (id, text hash) of each stays.
 Equal signatures are collapsed before the search, so copies cost one row however many there are.
 With d differing bits, a pair meets in one of ``tables`` tables of ``bits`` bits with probability
 ``1 - (1 - (1 - d/256)**bits)**tables``: 0.999 at 20 bits, 0.97 at 30, 0.78 at the limit of 38, and
-0.95 or more over the pairs of documents with up to 6 % of their words changed.
+0.95 or more over the pairs of documents with up to 6 % of their words changed.  A bucket above ``CAP`` signatures
+is split by ``EXTRA_BITS`` more bits in ``DRAWS`` ways; a pair that met in it meets again with probability
+``1 - (1 - (1 - d/256)**EXTRA_BITS)**DRAWS``, 0.999 at the limit of 38, at each level of splitting.
 
 Defined cases.  A document without a word (null, empty, only punctuation) has no signature, is
 never a duplicate and stays.  Rows equal in id and text are one document; ``keep_first`` leaves
@@ -31,7 +33,7 @@ from mnemoria.llm.cluster import components, cut, linker, sampled_bits, same_doc
 
 WORDS = 4  # 64-bit words of a signature
 TABLES, BITS, MAX_DISTANCE = 40, 20, 38
-CAP, EXTRA_BITS, DRAWS = 4096, 6, 8
+CAP, EXTRA_BITS, DRAWS = 4096, 6, 16
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

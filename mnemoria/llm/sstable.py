@@ -12,11 +12,13 @@ first_key, payload), whose payloads in the order of ``part`` are the file.  A ta
 at a time.  ``write`` stores the files, ``Table`` reads one, ``lookup`` finds keys in a built DataFrame.
 
 Keys.  A null is 00; integers are 01 and 8 big-endian bytes with the sign bit flipped; texts
-are 02 and UTF-8; so byte order is the order of Spark's ascending sort.  Values hold the named columns:
-null, text, integer, double, boolean, binary or token ids (32-bit little-endian).
+are 02 and UTF-8; so byte order is the order of Spark's ascending sort; dates and timestamps are their texts,
+and keys of other types are refused when the plan is made.  Values hold the named columns: null, text, integer
+up to 64 bits, double, boolean, binary or arrays of non-negative 32-bit integers such as token ids, little-endian.
+Dates, timestamps and decimals are packed as their exact texts, maps, structs and other arrays as JSON.
 
-Defined cases.  A null key is a key; equal keys keep all their entries, in no stated order, and a
-lookup gives all of them.  Null and empty values are told apart.  A value above the block size has a
+Defined cases.  A null key is a key; equal keys keep all their entries, in the order of a hash of their
+values, so that shards are the same bytes in every run, and a lookup gives all of them.  Null and empty values are told apart.  A value above the block size has a
 block of its own.  An empty table gives no shard.  Columns not named are left out, whatever their names.
 """
 
@@ -32,6 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemoria.llm import kernel as K
 from mnemoria.llm.sharding import shard
@@ -311,15 +314,43 @@ def _stream(names: list[str]):
     return stream
 
 
+def _packable(name: str, kind: T.DataType):
+    """The column as a type that ``pack`` knows."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType, T.BooleanType, T.IntegralType)):
+        return c
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.cast("double")
+    if isinstance(kind, T.NullType):
+        return c.cast("string")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+        return c.cast("string")
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.IntegralType):
+        plain = F.coalesce(F.forall(c, lambda x: x.between(0, 2**32 - 1)), F.lit(True))
+        return F.when(c.isNull() | plain, c.cast("array<long>")).otherwise(F.raise_error(F.lit(f"{name}: token ids are 32-bit and not null"))) if kind.containsNull or not isinstance(kind.elementType, T.ByteType) else c.cast("array<long>")
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(c)
+    raise TypeError(f"column {name} of type {kind.simpleString()} can't be packed")
+
+
+def _key(name: str, kind: T.DataType):
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)):
+        return F.col(f"`{name}`").cast("string")
+    if isinstance(kind, (T.StringType, T.BinaryType, T.IntegralType)):
+        return F.col(f"`{name}`")
+    raise TypeError(f"key {name} of type {kind.simpleString()} has no byte order here; use an integer, text, binary, date or timestamp")
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", value_cols: list[str] | None = None, target: int = TARGET) -> DataFrame:
     """The parts of every shard, as SCHEMA."""
     names = value_cols if value_cols is not None else [c for c in docs.columns if c != id_col]
-    own = docs.select(F.col(id_col).alias("__key"), *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(names)])
-    sizes = [F.coalesce(F.octet_length(f"__v{i}"), F.lit(0)) for i, c in enumerate(names) if docs.schema[c].dataType.typeName() in ("string", "binary")]
-    sizes += [4 * F.greatest(F.size(f"__v{i}"), F.lit(0)) for i, c in enumerate(names) if docs.schema[c].dataType.typeName() == "array"]
-    own = own.withColumn("__bytes", sum(sizes, F.lit(0)))
+    own = docs.select(_key(id_col, docs.schema[id_col].dataType).alias("__key"), *[_packable(c, docs.schema[c].dataType).alias(f"__v{i}") for i, c in enumerate(names)])
+    values = [f"__v{i}" for i in range(len(names))]
+    sizes = [F.coalesce(F.octet_length(v), F.lit(0)) for v in values if own.schema[v].dataType.typeName() in ("string", "binary")]
+    sizes += [4 * F.greatest(F.size(v), F.lit(0)) for v in values if own.schema[v].dataType.typeName() == "array"]
+    own = own.withColumn("__bytes", sum(sizes, F.lit(0))).withColumn("__tie", F.xxhash64(*values) if values else F.lit(0))
     placed = shard(own, "__key", ["__key"], None, target, shard_col="__shard", size=F.col("__bytes")).drop("__bytes")
-    return placed.sortWithinPartitions("__shard", "__key").mapInArrow(K.tidy(_stream(names)), SCHEMA)
+    return placed.sortWithinPartitions("__shard", "__key", "__tie").drop("__tie").mapInArrow(K.tidy(_stream(names)), SCHEMA)
 
 
 def tables(parts: DataFrame, shard_ids: list[int] | None = None) -> Iterator[tuple[int, Table]]:
@@ -348,26 +379,36 @@ def write(parts: DataFrame, path: str) -> None:
 
 
 def lookup(parts: DataFrame, keys: list) -> dict:
-    """key -> list of values, for keys in the shards; reads each index and filter but only the blocks in question."""
+    """key -> list of values, for keys in the shards.  The tasks ask each shard's filter and index, then search
+    only the blocks in question; the driver gets the entries found."""
     wanted = {key_bytes(k): k for k in keys}
     found: dict = {k: [] for k in keys}
-    heads = parts.where(F.col("kind").isin("index", "bloom")).select("shard_id", "kind", "payload")
-    index: dict[int, dict[str, bytes]] = {}
-    for s, kind, data in heads.toLocalIterator():
-        index.setdefault(s, {})[kind] = bytes(data)
-    blocks: list[tuple[int, int]] = []
-    for s, head in index.items():
-        firsts = read_index(head["index"])
-        for k in wanted:
-            if firsts[0][0] <= k and maybe(head["bloom"], k):
-                at = max(0, bisect_left(firsts, k, key=lambda b: b[0]) - 1)
-                while at < len(firsts) and firsts[at][0] <= k:
-                    blocks.append((s, firsts[at][1]))
-                    at += 1
-    if blocks:
-        near = parts.sparkSession.createDataFrame(sorted(set(blocks)), "shard_id int, offset long")
-        for r in parts.where("kind = 'data'").join(F.broadcast(near), ["shard_id", "offset"]).select("payload").toLocalIterator():
-            for k, v in entries(open_block(bytes(r[0]))[0]):
-                if k in wanted:
-                    found[wanted[k]].append(unpack(v))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, index, filter_ in zip(batch.column("shard_id").to_pylist(), batch.column("index").to_pylist(), batch.column("bloom").to_pylist()):
+                firsts, at = read_index(index), set()
+                for k in wanted:
+                    if firsts[0][0] <= k and maybe(filter_, k):
+                        n = max(0, bisect_left(firsts, k, key=lambda b: b[0]) - 1)
+                        while n < len(firsts) and firsts[n][0] <= k:
+                            at.add(firsts[n][1])
+                            n += 1
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.int32()), pa.array(sorted(at), pa.int64())], ["shard_id", "offset"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(k, v) for data in batch.column("payload").to_pylist() for k, v in entries(open_block(data)[0]) if k in wanted]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*hits)], ["key", "value"])
+
+    def of(kind: str):
+        return F.max(F.when(F.col("kind") == kind, F.col("payload"))).alias(kind)
+
+    heads = parts.where(F.col("kind").isin("index", "bloom")).groupBy("shard_id").agg(of("index"), of("bloom"))
+    near = heads.mapInArrow(blocks, "shard_id int, offset long")
+    data = parts.where("kind = 'data'").join(near, ["shard_id", "offset"]).select("payload")
+    for k, v in data.mapInArrow(search, "key binary, value binary").toLocalIterator():
+        found[wanted[bytes(k)]].append(unpack(bytes(v)))
     return found
