@@ -14,10 +14,13 @@ from mnemoria.llm.kernel import U, groups_of, hamming
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` use the cluster's folder; a temporary one only where none is set."""
+    """Make ``checkpoint()`` use the cluster's folder; a temporary one only on local cores where none is set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
