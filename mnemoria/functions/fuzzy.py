@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,6 +26,26 @@ def fuzzy(a, b) -> Column:
     return run(col(a), col(b))
 
 
+def token_f1(prediction, truth) -> Column:
+    """F1 of the tokens of two normal answers, each counted as often as both have it."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, known = [], {}
+        for p, q in zip(x, y):
+            a = (p or "").split()
+            if q not in known:
+                known = known if len(known) < 10_000 else {}
+                known[q] = Counter((q or "").split())
+            b = known[q]
+            same = sum(min(n, b[w]) for w, n in Counter(a).items() if w in b)
+            precision, recall = (same / len(a), same / b.total()) if same else (0.0, 0.0)
+            out.append(2 * precision * recall / (precision + recall) if same else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return run(col(prediction), col(truth))
+
+
 def lcs(a: list, b: list) -> int:
     row = [0] * (len(b) + 1)
     for x in a:

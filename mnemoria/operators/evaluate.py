@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoria.functions import text as N
-from mnemoria.functions.fuzzy import rouge_l
+from mnemoria.functions.fuzzy import rouge_l, token_f1
 
 
 def answer_metrics(rows: DataFrame, key: list[str], prediction: str = "prediction", truth: str = "truth", rouge: bool = False) -> DataFrame:
     """(key, exact_match, f1, substring_match[, rouge_l]): the best over a key's rows, one for each accepted truth.
 
-    F1 counts tokens as often as both have them.  key names a prediction; rows repeat it with each truth.
+    F1 counts tokens as often as both have them, row by row, so no token is shuffled.  key names a prediction; rows repeat it with each truth.
     """
     own = rows.select(*key, N.normal_answer(prediction).alias("p"), N.normal_answer(truth).alias("t"))
-    own = own.withColumn("__pair", F.xxhash64("p", "t"))
-    tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    side = lambda c, p, t: own.select(*key, "__pair", F.explode(tokens(c)).alias("w"), F.lit(p).alias("a"), F.lit(t).alias("b"))
-    counts = side("p", 1, 0).unionByName(side("t", 0, 1)).groupBy(*key, "__pair", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = counts.groupBy(*key, "__pair").agg(F.sum(F.least("a", "b")).alias("same"), F.sum("a").alias("np"), F.sum("b").alias("nt"))
-    precision, recall = F.col("same") / F.col("np"), F.col("same") / F.col("nt")
-    f1 = F.when(F.col("same") > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    plain = own.groupBy(*key).agg(F.max((F.col("p") == F.col("t")).cast("double")).alias("exact_match"), F.max(F.col("p").contains(F.col("t")).cast("double")).alias("substring_match"), *([F.max(rouge_l("p", "t")).alias("rouge_l")] if rouge else []))
-    best = sums.groupBy(*key).agg(F.max(f1).alias("f1"))
-    return plain.join(best, key, "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)))
+    best = [F.max((F.col("p") == F.col("t")).cast("double")).alias("exact_match"), F.coalesce(F.max(token_f1("p", "t")), F.lit(0.0)).alias("f1"), F.max(F.col("p").contains(F.col("t")).cast("double")).alias("substring_match")]
+    return own.groupBy(*key).agg(*best, *([F.max(rouge_l("p", "t")).alias("rouge_l")] if rouge else []))
 
 
 def task_metrics(results: DataFrame, task: str = "task", latency: str = "latency_ms") -> DataFrame:

@@ -67,6 +67,21 @@ def parse_plain(responses: DataFrame, keep: list[str], col: str = "response") ->
     return entities, relations
 
 
+def parsed(responses: DataFrame, keep: list[str], col: str = "response") -> tuple[DataFrame, DataFrame]:
+    """Entities and relationships of responses in any of three forms: marked lines; else JSON; else plain lines."""
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    marked = F.col(col).contains("$$$$")
+    rest = responses.where(~marked).withColumn("__j", parse_json(col))
+    json = rest.where("__j is not null")
+    e = json.select(*keep, F.posexplode("__j.entities").alias("line_no", "x")).where("x.name <> ''").select(*keep, "line_no", F.col("x.name").alias("name"), F.coalesce("x.type", F.lit("Entity")).alias("entity_type"), F.coalesce("x.description", F.lit("")).alias("description"), none.alias("aliases"))
+    r = json.select(*keep, F.posexplode("__j.relationships").alias("line_no", "x")).where("x.source <> '' and x.target <> ''").select(*keep, "line_no", F.col("x.source").alias("source"), F.col("x.target").alias("target"), F.coalesce("x.relation", F.lit("RELATED_TO")).alias("relation_type"), F.coalesce("x.description", F.lit("")).alias("description"), text.alias("valid_from"), text.alias("valid_until"))
+    pe, pr = parse_plain(rest.where("__j is null"), keep, col)
+    number = F.lit(0).alias("line_no")
+    entities = parse_entities(responses.where(marked), keep, col).unionByName(e).unionByName(pe.select(*keep, F.pmod(F.xxhash64("name", "entity_type"), F.lit(1_000_000)).cast("int").alias("line_no"), "name", "entity_type", "description", none.alias("aliases")))
+    relations = parse_relationships(responses.where(marked), keep, col).unionByName(r).unionByName(pr.select(*keep, number, "source", "target", "relation_type", "description", text.alias("valid_from"), text.alias("valid_until")))
+    return entities, relations
+
+
 def parse_json(response) -> Column:
     """Struct of the entities and relationships between the first { and the last }; null if that isn't JSON."""
     return F.from_json(F.regexp_extract(X.col(response), r"(?s)\{.*\}", 0), JSON)

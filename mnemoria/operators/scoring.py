@@ -51,14 +51,13 @@ def decay_edges(edges: DataFrame, nodes: DataFrame, half_life: float = 30.0, del
 def conflicts(edges: DataFrame) -> DataFrame:
     """Of each (source, relation) with several targets, edges below the top priority are archived.
 
-    Adds ``importance`` 0 and state ARCHIVED to the losers; groups with one target stay as they are.
+    Adds ``importance`` 0 and state ARCHIVED to the losers; groups with one target stay as they are.  A group's top is
+    aggregated before the shuffle and joined back, so a source with a large share of the edges isn't one task.
     """
-    by = [F.lower("source_id"), F.lower("relation_type")]
-    key = Window.partitionBy(*by)
-    priority = F.coalesce(F.col("priority"), F.lit(0))
-    several = F.min(F.lower("target_id")).over(key) != F.max(F.lower("target_id")).over(key)
-    lost = several & (priority < F.max(priority).over(key))
-    return edges.withColumn("lost", F.coalesce(lost, F.lit(False))).withColumn("importance", F.when(F.col("lost"), 0.0).otherwise(F.col("importance"))).withColumn("state", F.when(F.col("lost"), "ARCHIVED").otherwise(F.col("state")))
+    s, r, priority = F.lower("source_id"), F.lower("relation_type"), F.coalesce(F.col("priority"), F.lit(0))
+    groups = edges.groupBy(s.alias("__s"), r.alias("__r")).agg(F.min(F.lower("target_id")).alias("__a"), F.max(F.lower("target_id")).alias("__b"), F.max(priority).alias("__top")).where("__a <> __b")
+    out = edges.join(groups, s.eqNullSafe(F.col("__s")) & r.eqNullSafe(F.col("__r")), "left").withColumn("lost", F.coalesce(priority < F.col("__top"), F.lit(False))).drop("__s", "__r", "__a", "__b", "__top")
+    return out.withColumn("importance", F.when(F.col("lost"), 0.0).otherwise(F.col("importance"))).withColumn("state", F.when(F.col("lost"), "ARCHIVED").otherwise(F.col("state")))
 
 
 def rescored(nodes: DataFrame, change: float = 2.0) -> DataFrame:

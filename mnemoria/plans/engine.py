@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoria.conf import EngineConfig
-from mnemoria.errors import QueryError
+from mnemoria.errors import IngestionError, QueryError
 from mnemoria.functions import exprs as X
 from mnemoria.functions.providers import Answerer, Embedder, ExtractiveAnswerer, Extractor, HashingEmbedder, RuleExtractor
 from mnemoria.operators import graph, retrieve, scoring
 from mnemoria.operators.lineage import cut
 from mnemoria.plans import evolve as evolution
 from mnemoria.plans import ingest as ingestion
+from mnemoria.sources import documents as sources
 from mnemoria.sources.store import ParquetStore
 
 MODES = ("semantic", "exact", "graph_traversal")
@@ -41,10 +43,11 @@ class Response:
 class MemoryEngine:
     """One tenant's memory in a store that may hold many."""
 
-    def __init__(self, spark: SparkSession, path: str, conf: EngineConfig | None = None, extractor: Extractor | None = None, embedder: Embedder | None = None, answerer: Answerer | None = None):
+    def __init__(self, spark: SparkSession, path: str, conf: EngineConfig | None = None, extractor: Extractor | None = None, embedder: Embedder | None = None, answerer: Answerer | None = None, coreferences: Extractor | None = None):
         self.spark, self.conf = spark, (conf or EngineConfig()).validate()
         self.store = ParquetStore(spark, path)
         self.extractor, self.embedder, self.answerer = extractor or RuleExtractor(), embedder or HashingEmbedder(), answerer or ExtractiveAnswerer()
+        self.coreferences = coreferences
 
     @property
     def tenant(self) -> tuple[str, str]:
@@ -57,13 +60,34 @@ class MemoryEngine:
     def ingest(self, docs: DataFrame, as_of: dt.datetime | None = None, id_col: str = "doc_id", text_col: str = "text", communities: bool = True) -> dict[str, int]:
         """Documents of any number become part of the graph; counts of documents, chunks that failed, nodes and edges."""
         at = self._at(as_of)
-        nodes, edges, failed = ingestion.graph_of(docs, self.extractor, self.embedder, self.conf, at, id_col, text_col)
+        nodes, edges, failed = ingestion.graph_of(docs, self.extractor, self.embedder, self.conf, at, id_col, text_col, self.coreferences)
         self.store.upsert("nodes", ingestion.merge_known(nodes, self.store.load("nodes", *self.tenant)))
         self.store.upsert("edges", edges)
         if communities:
             self.detect_communities()
         return {"documents": docs.where(X.valid_text(text_col)).count(), "failed_chunks": failed.count(), "nodes": nodes.count(), "edges": edges.count()}
 
+    def ingest_files(self, path: str, modality: str | None = None, as_of: dt.datetime | None = None, **readers) -> dict[str, int]:
+        """Files under a path or pattern; each is read as its extension says, or as ``modality``.  readers: modality=function of bytes."""
+        return self.ingest(sources.routed_files(self.spark, path, modality, readers), as_of)
+
+    def ingest_url(self, url: str, fetch: Callable[[str], str], as_of: dt.datetime | None = None) -> dict[str, int]:
+        """The main text of a web page; ``fetch`` gets its HTML."""
+        if not sources.valid_url(url):
+            raise IngestionError(f"not a web address: {url}", url=url)
+        text, title, _ = sources.page_text(fetch(url))
+        return self.ingest_text("\n".join(x for x in (title, text) if x), url, as_of)
+
+    def nodes(self) -> DataFrame:
+        """The tenant's nodes with the accesses logged since they were written."""
+        log = scoring.fold_accesses(self.store.load("accesses", *self.tenant), ["id"]).select("id", F.col("access_count").alias("__n"), F.col("accessed_at").alias("__t"))
+        out = self.store.load("nodes", *self.tenant).join(log, "id", "left")
+        return out.withColumns({"access_count": F.col("access_count") + F.coalesce("__n", F.lit(0)), "accessed_at": F.greatest("accessed_at", "__t")}).drop("__n", "__t")
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        nodes = self.nodes()
+        return nodes, graph.within_nodes(self.store.load("edges", *self.tenant), nodes)
+
     def ingest_text(self, text: str, doc_id: str = "text", as_of: dt.datetime | None = None) -> dict[str, int]:
         return self.ingest(self.spark.createDataFrame([(doc_id, text)], "doc_id string, text string"), as_of)
 
@@ -75,22 +99,23 @@ class MemoryEngine:
         c = self.conf
         members = cut(graph.communities(nodes, edges, c.community_algorithm, c.min_cluster_size, c.max_cluster_size))
         found = graph.clusters(members, nodes, edges, c.community_algorithm)
-        self.store.replace("clusters", found.withColumns({"user_id": F.lit(c.user_id), "memory_id": F.lit(c.memory_id)}))
+        self.store.replace("clusters", found.withColumns({"user_id": F.lit(c.user_id), "memory_id": F.lit(c.memory_id)}), self.tenant)
 
     def search(self, question: str, k: int | None = None, least: float | None = None, filters: dict | None = None, as_of: dt.datetime | None = None) -> DataFrame:
         """(id, similarity, boost, score) of the nodes that answer best."""
-        nodes = self.store.load("nodes", *self.tenant).withColumn("hours", 24 * X.days_between(self._at(as_of), F.col("accessed_at")))
+        nodes = self.nodes().withColumn("hours", 24 * X.days_between(self._at(as_of), F.col("accessed_at")))
         vector = self.embedder.embed([question])[0] or [0.0] * self.embedder.dimensions
         return retrieve.hybrid_search(nodes, question, vector, self.conf.top_k if k is None else k, self.conf.min_similarity if least is None else least, filters)
 
     def query(self, question: str, mode: str = "semantic", k: int | None = None, least: float | None = None, filters: dict | None = None, as_of: dt.datetime | None = None, hops: int | None = None, record: bool = True) -> Response:
         """Named and similar nodes, what they are linked with, and an answer from a context that fits.
 
-        With ``as_of``, only edges that hold then count.  Access counts of the nodes found go up unless ``record`` is off.
+        With ``as_of``, only edges that hold then count.  The nodes found are appended to the access log unless ``record``
+        is off; no stored node is written by a query.
         """
         if mode not in MODES:
             raise QueryError(f"no query mode {mode!r}", mode=mode)
-        nodes, edges = self.store.load_graph(*self.tenant)
+        nodes, edges = self.graph()
         if as_of is not None:
             edges = edges.where(X.valid_at(self._at(as_of)))
         asked = self.spark.createDataFrame([(0, question)], "question_id int, question string")
@@ -115,10 +140,19 @@ class MemoryEngine:
             return Response(question, "No relevant information found.", 0.0, "", found, touched, clusters)
         answer, sure = self.answerer.answer(question, context)
         if record and not found.isEmpty():
-            at = self._at(as_of)
-            self.store.upsert("nodes", found.drop("score").withColumns({"access_count": F.col("access_count") + 1, "accessed_at": at, "updated_at": F.greatest("updated_at", at)}))
+            self.store.append("accesses", found.select("user_id", "memory_id", "id", self._at(as_of).alias("ts")))
         return Response(question, answer, sure, context, found, touched, clusters, cut_off, sources)
 
+    def query_communities(self, question: str, as_of: dt.datetime | None = None, k: int | None = None) -> tuple[str, float]:
+        """An answer put together from those of the communities that hold the nodes found, each from its summary."""
+        nodes, _ = self.graph()
+        asked = self.spark.createDataFrame([(0, question)], "question_id int, question string")
+        found = retrieve.fuse(retrieve.exact_matches(nodes, asked), self.search(question, k, as_of=as_of).select(F.lit(0).alias("question_id"), "id", "score"))
+        clusters = graph.relevant_clusters(self.store.load("clusters", *self.tenant), nodes.join(found.select("id"), "id", "left_semi")).where("summary <> ''")
+        answers = retrieve.community_answers(clusters, question, self.answerer)
+        row = retrieve.aggregate_answers(answers).first()
+        return (row["answer"], row["confidence"]) if row else ("No relevant information found.", 0.0)
+
     def context(self, nodes: DataFrame, edges: DataFrame, clusters: DataFrame, priority: str = "balanced") -> tuple[str, bool, list[str]]:
         """(text, whether an item was left out, node names): sections within the token budget, in their order of weight."""
         name = nodes.select("id", "name")
@@ -150,11 +184,14 @@ class MemoryEngine:
             last = self.store.load("events", *self.tenant).agg(F.max("ts").alias("t")).select((24 * X.days_between(at, F.col("t"))).alias("h")).first()[0]
             if last is not None and last < self.conf.min_evolve_hours:
                 return None
-        out = evolution.evolve(*self.store.load_graph(*self.tenant), at, self.conf, **switches)
+        log = cut(self.store.load("accesses", *self.tenant))
+        out = evolution.evolve(*self.graph(), at, self.conf, **switches)
         events = cut(out.events.withColumns({"user_id": F.lit(self.conf.user_id), "memory_id": F.lit(self.conf.memory_id)}))
-        self.store.replace("nodes", out.nodes)
-        if not out.edges.isEmpty():
-            self.store.replace("edges", out.edges)
+        nodes, edges = cut(out.nodes), cut(out.edges)  # both read what is replaced
+        self.store.replace("nodes", nodes, self.tenant)
+        self.store.replace("edges", edges, self.tenant)
+        since = self.store.load("accesses", *self.tenant).join(log.select("id", "ts").distinct(), ["id", "ts"], "left_anti")
+        self.store.replace("accesses", since, self.tenant)  # what the new nodes count already goes
         self.store.append("events", events)
         return events
 

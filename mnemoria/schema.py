@@ -36,5 +36,6 @@ CLUSTERS = _schema("user_id string, memory_id string, cluster_id long, summary s
 CHUNKS = _schema("doc_id string, chunk_index int, content string, start_char int, end_char int, modality string, metadata map")
 EVENT_LOG = _schema("id string, evolution_type string, user_id string, memory_id string, affected_nodes texts, affected_edges texts, before map, after map, reason string, ts timestamp")
 CACHE = _schema("key string, user_id string, memory_id string, value string, expires_at timestamp")
-TABLES = {"nodes": NODES, "edges": EDGES, "clusters": CLUSTERS, "events": EVENT_LOG, "cache": CACHE}
-KEYS = {"nodes": ["id"], "edges": ["id"], "clusters": ["cluster_id"], "events": ["id"], "cache": ["key"]}
+ACCESSES = _schema("user_id string, memory_id string, id string, ts timestamp")
+TABLES = {"accesses": ACCESSES, "nodes": NODES, "edges": EDGES, "clusters": CLUSTERS, "events": EVENT_LOG, "cache": CACHE}
+KEYS = {"accesses": ["id", "ts"], "nodes": ["id"], "edges": ["id"], "clusters": ["cluster_id"], "events": ["id"], "cache": ["key"]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -79,11 +81,11 @@ def valid_url(url: str | Column) -> bool | Column:
 
 
 def json_text(value, depth: int = 0) -> str:
-    """``key: value`` and ``[i]: value`` lines, two blanks deeper at each level; lists to 100 items."""
+    """``key: value`` and ``[i]: value`` lines, two blanks deeper at each level."""
     if isinstance(value, dict):
         return "\n".join(f"{'  ' * depth}{k}: {json_text(v, depth + 1)}" for k, v in value.items())
     if isinstance(value, list):
-        return "\n".join(f"{'  ' * depth}[{i}]: {json_text(v, depth + 1)}" for i, v in enumerate(value[:100])) if value else "[]"
+        return "\n".join(f"{'  ' * depth}[{i}]: {json_text(v, depth + 1)}" for i, v in enumerate(value)) if value else "[]"
     return str(value)
 
 
@@ -120,8 +122,7 @@ def row_text(columns: list[str], number: Column) -> Column:
 def read_files(spark: SparkSession, path: str, modality: str = "text") -> DataFrame:
     """(doc_id, text, modality, metadata) of files, whole; the path is the id.
 
-    text, markdown, code, json and webpage files are decoded as UTF-8; csv rows become lines.  Other
-    modalities (pdf, image, audio) need a reader; see ``read_with``.
+    All are decoded as UTF-8, as they stand; ``routed_files`` reads each by its kind.
     """
     raw = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "UTF-8")
@@ -145,3 +146,55 @@ def read_with(files: DataFrame, reader: Callable[[bytes], str], id_col: str = "p
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "text", "error"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string, error string")
+
+
+EXTENSIONS = {
+    **dict.fromkeys(("md", "markdown"), "markdown"), **dict.fromkeys(("htm", "html"), "webpage"), "json": "json", "csv": "csv", "tsv": "csv", "pdf": "pdf",
+    **dict.fromkeys(("png", "jpg", "jpeg", "gif", "webp"), "image"), **dict.fromkeys(("mp3", "wav", "m4a", "ogg"), "audio"),
+    **dict.fromkeys("py js ts java go rs c cpp h rb php scala sql sh".split(), "code"),
+}
+
+
+def modality_of(path: str) -> str:
+    """A file's kind by its extension; text where that says nothing."""
+    return EXTENSIONS.get(path.rpartition(".")[2].lower(), "text")
+
+
+def csv_text(text: str, delimiter: str = ",") -> str:
+    """``Row i: name: value, ...`` lines of CSV with a header; empty values are left out."""
+    rows = csv.DictReader(io.StringIO(text), delimiter=delimiter)
+    return "\n".join(f"Row {i}: " + ", ".join(f"{k}: {v}" for k, v in r.items() if k is not None and v) for i, r in enumerate(rows, 1))
+
+
+def as_text(data: bytes, kind: str, path: str = "") -> str:
+    """What a file of a kind says; kinds without a reader are refused."""
+    if kind in ("pdf", "image", "audio"):
+        raise ValueError(f"{kind} files need a reader")
+    text = data.decode("utf-8", "replace")
+    if kind == "csv":
+        return csv_text(text, "\t" if path.lower().endswith(".tsv") else ",")
+    if kind == "json":
+        try:
+            return json_text(json.loads(text))
+        except ValueError:
+            return text
+    return page_text(text)[0] if kind == "webpage" else text
+
+
+def routed_files(spark: SparkSession, path: str, modality: str | None = None, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(doc_id, text, modality, error) of files, each by the reader of its kind; a failure is a row."""
+    own = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
+    named = dict(readers or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, data in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist()):
+                kind = modality or modality_of(name)
+                try:
+                    out.append((name, named[kind](data) if kind in named else as_text(data, kind, name), kind, None))
+                except Exception as e:
+                    out.append((name, None, kind, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((),) * 4)], ["doc_id", "text", "modality", "error"])
+
+    return own.mapInArrow(run, "doc_id string, text string, modality string, error string")

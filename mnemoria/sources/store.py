@@ -58,11 +58,21 @@ class ParquetStore:
         nodes = self.load("nodes", user_id, memory_id)
         return nodes, within_nodes(self.load("edges", user_id, memory_id), nodes)
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """The rows become the whole content of the tenants that they belong to."""
+    def replace(self, table: str, rows: DataFrame, tenant: tuple[str, str] | None = None) -> None:
+        """The rows become the whole content of the tenants that they belong to; with ``tenant``, of that tenant
+        even where there are none."""
         out = cut(conform(rows, TABLES[table]))
+        if tenant is not None and out.isEmpty():
+            self._drop(table, *tenant)
+            return
         out.repartition(*TENANT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TENANT).parquet(f"{self.path}/{table}")
 
+    def _drop(self, table: str, user_id: str, memory_id: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/user_id={name(user_id)}/memory_id={name(memory_id)}")
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def upsert(self, table: str, rows: DataFrame, by: tuple[str, ...] = ("updated_at",)) -> None:
         """Rows replace those with their key; the one updated last wins."""
         rows = cut(conform(rows, TABLES[table]))
@@ -76,10 +86,8 @@ class ParquetStore:
 
     def clear(self, user_id: str, memory_id: str) -> None:
         """One tenant's partitions go, in every table."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         for table in TABLES:
-            where = hadoop.Path(f"{self.path}/{table}/user_id={user_id}/memory_id={memory_id}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._drop(table, user_id, memory_id)
 
     def tenants(self) -> DataFrame:
         return self._read("nodes").select(*TENANT).distinct()

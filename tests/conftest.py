@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
         .config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(work / "warehouse")).getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.sql.warehouse.dir", str(work / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(work / "checkpoints"))

@@ -11,7 +11,7 @@ def graph_of(spark, sf):
     return ids, P.trade_edges(spark, sf).select("id", "source_id", "target_id", "weight", "confidence").collect()
 
 
-def test_pagerank_converged(spark, sf):
+def test_pagerank(spark, sf):
     ids, edges = graph_of(spark, sf)
     last = {(e["source_id"], e["target_id"]): float(e["weight"]) * float(e["confidence"]) for e in sorted(edges, key=lambda e: e["id"])}
     total = Counter()
@@ -26,11 +26,11 @@ def test_pagerank_converged(spark, sf):
         new = {i: 0.85 * (c[i] + rest) + 0.15 / len(ids) for i in ids}
         x, step = new, sum(abs(new[i] - x[i]) for i in ids)
     top = max(x.values())
-    got = {r["id"]: r["rank"] for r in queries.pagerank_converged(spark, sf).collect()}
+    got = {r["id"]: r["rank"] for r in queries.pagerank(spark, sf).collect()}
     assert set(got) == set(ids) and all(abs(got[i] - x[i] / top) < 2e-6 for i in ids)
 
 
-def test_label_propagation_full(spark, sf):
+def test_label_propagation(spark, sf):
     ids, edges = graph_of(spark, sf)
     near = {i: set() for i in ids}
     for e in edges:
@@ -42,4 +42,4 @@ def test_label_propagation_full(spark, sf):
         votes = {i: Counter(label[j] for j in near[i]) for i in ids}
         label = {i: min(votes[i], key=lambda k: (-votes[i][k], k)) if votes[i] else label[i] for i in ids}
         early = label if n == 1 else early
-    assert {r["id"]: r["label"] for r in queries.label_propagation_full(spark, sf).collect()} == label != early
+    assert {r["id"]: r["label"] for r in queries.label_propagation(spark, sf).collect()} == label != early
