@@ -107,7 +107,7 @@ def align(t: Template, code: np.ndarray, low: np.ndarray, high: np.ndarray, shif
         step[i] = np.where(now < run, 2, np.where(diagonal >= missing, 0, 1))
         best = run
     out = []
-    end = best.argmax(1)
+    end = (best * (2 * width) - np.abs(column - t.band)).argmax(1)  # of equal scores the one nearest to the candidate's own shift
     for c in range(n):
         k, i = int(end[c]), m - 1
         x, y = [], []

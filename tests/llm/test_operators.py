@@ -474,3 +474,27 @@ def test_line_dedup_splits_hot_buckets(spark):
     root = brute.line_groups(texts, 0.9)
     want = {i for i, r in enumerate(root) if i != r}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_sstable_values_of_all_types(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    schema = "doc_id long, d date, t timestamp, x decimal(20,3), m map<string,int>, a array<string>, ids array<int>, f float, b binary, s struct<u:int>, n void"
+    day, at = dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5)
+    rows = [(1, day, at, Decimal("1.5"), {"k": 1}, ["x", None], [7, 70_000], 0.5, b"\x00", (3,), None), (1, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = sstable.lookup(sstable.build(docs), [1, 2])
+    assert sorted(got[1], key=str) == sorted([["2024-01-02", "2024-01-02 03:04:05", "1.500", '{"k":1}', '["x",null]', [7, 70_000], 0.5, b"\x00", '{"u":3}', None], [None] * 10], key=str) and got[2] == []
+    same = [[r["payload"] for r in sstable.build(docs.repartition(n)).orderBy("shard_id", "part").collect()] for n in (1, 3)]
+    assert same[0] == same[1]  # equal keys have an order
+    assert list(sstable.lookup(sstable.build(docs.select("d", "x"), "d"), ["2024-01-02"]).values()) == [[["1.500"]]]
+    for key in ("f", "x", "m"):
+        with pytest.raises(TypeError):
+            sstable.build(docs, key)
+
+
+def test_license_copies_side_by_side(spark):
+    one = "SPDX-License-Identifier: MIT"
+    rows = license_scan.scan(spark.createDataFrame([(1, f"{one}\n{one}\nSome other words stand here. {one}")], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and len({r["start"] for r in rows}) == 3
