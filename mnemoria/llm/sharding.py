@@ -5,7 +5,7 @@ keys, so a hot key can be cut.  Each record enters the sample with a chance in p
 size, ``OVERSAMPLE`` draws for each shard's worth of bytes, and every ``OVERSAMPLE``-th sampled key
 is a splitter.  The bytes of every range are then counted; a range above ``slack`` times the target
 is sampled anew, in proportion to its excess, and cut by new splitters, until none is too full or
-no range can be cut (one record, or equal records).  Shards are numbered in key order.
+no range can be cut (one record, or equal records); where equal records fill a range's sample, each key counts once.  Shards are numbered in key order.
 
 Only (key, hash, size) is gathered: those compact rows are written once to the shared folder and
 every round reads them.  The splitters, one key for each shard, are all that the tasks are sent;
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mnemoria.llm.cluster import cut
 
-TARGET_BYTES, OVERSAMPLE, SLACK, ROUNDS, OVERHEAD = 128 << 20, 32, 1.25, 6, 16
+TARGET_BYTES, OVERSAMPLE, SLACK, OVERHEAD = 128 << 20, 32, 1.25, 16
 
 
 def _order_key(v: tuple) -> tuple:
@@ -78,17 +78,20 @@ def splitters(docs: DataFrame, key: str, ties: list[str], size: Column, target:
     """The (key, tie hash) pairs that begin every shard but the first, in order."""
     rows = cut(docs.select(F.col(key).alias("k"), F.xxhash64(*ties).alias("t"), size.alias("s")))
     found: list[tuple] = []
-    full = {0: 1.0}  # ranges to be cut -> share of the sampling rate
-    for step in range(ROUNDS):
+    step, boost = 0, 1.0
+    while True:
         ranged = rows.withColumn("r", _ranger(found)("k", "t")) if found else rows.withColumn("r", F.lit(0))
-        sizes = {r["r"]: (r["n"], r["kinds"]) for r in ranged.groupBy("r").agg(F.sum("s").alias("n"), F.approx_count_distinct(F.struct("k", "t")).alias("kinds")).toLocalIterator()}
-        full = {r: n for r, (n, kinds) in sizes.items() if n > slack * target and kinds > 1}
+        ends = F.struct("k", "t")
+        sizes = ranged.groupBy("r").agg(F.sum("s").alias("n"), (F.min(ends) < F.max(ends)).alias("cuttable"))
+        full = {r["r"]: r["n"] for r in sizes.where((F.col("n") > slack * target) & F.col("cuttable")).toLocalIterator()}
         if not full:
             break
-        chance = F.least(F.lit(1.0), F.col("s") * F.lit(OVERSAMPLE / target))
-        drawn = ranged.where(F.col("r").isin(list(full)) if len(full) <= 1000 else F.lit(True))
-        draw = (F.pmod(F.xxhash64("k", "t", F.lit(seed + step)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-        drawn = drawn.where(draw < chance).select("r", "k", "t", (F.greatest(F.lit(1.0), F.col("s") * F.lit(OVERSAMPLE / target))).alias("w"))
+        drawn = ranged.where(F.col("r").isin(list(full)) if len(full) <= 1000 else F.lit(True)).select("r", "k", "t", "s")
+        if boost > 1:  # equal records hid the others: each counts once now, and is drawn more often
+            drawn = drawn.groupBy("r", "k", "t").agg(F.sum("s").alias("s"))
+        chance = F.least(F.lit(1.0), F.col("s") * F.lit(boost * OVERSAMPLE / target))
+        draw = F.pmod(F.xxhash64("k", "t", F.lit(seed + step)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = drawn.where(draw < chance).select("r", "k", "t", F.greatest(F.lit(1.0), F.col("s") * F.lit(boost * OVERSAMPLE / target)).alias("w"))
         by: dict[int, list] = {}
         for r in drawn.toLocalIterator():
             if r["r"] in full:
@@ -98,11 +101,18 @@ def splitters(docs: DataFrame, key: str, ties: list[str], size: Column, target:
             sample.sort(key=_order_key)
             pieces = max(2, round(full[r] / target))
             weight = np.cumsum([x[2] for x in sample])
+            other = next((i for i, x in enumerate(sample) if x[:2] != sample[0][:2]), len(sample))  # the range's first key can't cut it
             for q in range(1, pieces):
-                new.add(tuple(sample[int(np.searchsorted(weight, weight[-1] * q / pieces))][:2]))
-        if len(new) == len(found):
+                at = max(other, int(np.searchsorted(weight, weight[-1] * q / pieces)))
+                if at < len(sample):
+                    new.add(tuple(sample[at][:2]))
+        step += 1
+        if len(new) > len(found):
+            found, boost = sorted(new, key=_order_key), 1.0
+        elif boost * OVERSAMPLE * OVERHEAD >= target:  # every key was drawn
             break
-        found = sorted(new, key=_order_key)
+        else:
+            boost *= 16
     return found
 
 

@@ -498,3 +498,11 @@ def test_license_copies_side_by_side(spark):
     one = "SPDX-License-Identifier: MIT"
     rows = license_scan.scan(spark.createDataFrame([(1, f"{one}\n{one}\nSome other words stand here. {one}")], "doc_id long, text string")).collect()
     assert len(rows) == 3 and len({r["start"] for r in rows}) == 3
+
+
+def test_shards_are_cut_beside_a_hot_key(spark):
+    """One key, equal in all, has nearly all bytes: what stands beside it is cut off, in however many rounds."""
+    docs = spark.createDataFrame([(7, "s", "x" * 100)] * 3000 + [(i, "s", "y") for i in range(8, 40)], "doc_id long, source string, text string")
+    rows = sharding.shard(docs, target=2000).select("doc_id", "shard_id").collect()
+    hot = {r["shard_id"] for r in rows if r["doc_id"] == 7}
+    assert len(rows) == 3032 and len(hot) == 1 and len({r["shard_id"] for r in rows} - hot) >= 1
