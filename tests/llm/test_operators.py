@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from mnemoria.llm import decontaminate, edits, kernel, language_id, license_scan, line_dedup, quality_rules, registry, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
+from mnemoria.llm import decontaminate, edits, kernel, language_id, license_scan, line_dedup, line_pairs, quality_rules, registry, sentencepiece, sharding, simhash_dedup, span_dedup, sstable
 from mnemoria.llm.license_texts import TEMPLATES
 from tests.llm import brute
 from tests.oracle import connect, rows_of
@@ -506,3 +506,54 @@ def test_shards_are_cut_beside_a_hot_key(spark):
     rows = sharding.shard(docs, target=2000).select("doc_id", "shard_id").collect()
     hot = {r["shard_id"] for r in rows if r["doc_id"] == 7}
     assert len(rows) == 3032 and len(hot) == 1 and len({r["shard_id"] for r in rows} - hot) >= 1
+
+
+def _edited(rng, s: str, edits: int) -> str:
+    t = list(s)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(t)), rng.random()
+        t[at : at + (kind < 0.7)] = rng.choice(["x", "y", "z"]) if kind > 0.3 else ""
+    return " ".join("".join(t).split())
+
+
+def test_line_dedup_leaves_no_link_out(spark):
+    """Edits spread evenly leave no block of 8 or 12 bytes whole in most pairs; every one is found."""
+    rng = random.Random(12)
+    forms = []
+    for n in (20, 29, 30, 41, 60, 90, 120, 200, 350):
+        for _ in range(6):
+            s = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+            t = list(s)
+            for k in range(n // 10):
+                t[n * (2 * k + 1) // (2 * (n // 10))] = rng.choice("xyz")
+            forms += [s, "".join(t), _edited(rng, s, n // 10)]
+    forms = list(dict.fromkeys(f for f in forms if len(f) >= line_dedup.MIN_BYTES))
+    root = brute.line_groups(forms, 0.9)
+    want = {i for i, r in enumerate(root) if i != r}
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    assert {r["id"] for r in line_dedup.duplicate_lines(docs).collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("letters,shares", [("ab", 1), ("abcdefghijklmnop ", 3), ("日本語漢字é ", 2)])
+def test_line_pairs_are_all_pairs(letters, shares):
+    """The search alone, in one share of the hashes or several, gives every pair that all pairs give."""
+    rng = random.Random(13)
+    forms = []
+    for n in (10, 12, 20, 21, 30, 39, 40, 64, 100, 181, 260):
+        for _ in range(3):
+            s = "".join(rng.choice(letters) for _ in range(n))
+            forms += [s, *("".join(x if rng.random() > 0.05 else rng.choice(letters) * rng.randint(0, 2) for x in s) for _ in range(4))]
+    forms = list(dict.fromkeys(f for f in forms if len(f.encode()) >= 20))
+    i, j = np.triu_indices(len(forms), 1)
+    near = edits.Texts(forms).similar(i, j, 0.9)
+    want = set(zip((i[near] + 1).tolist(), (j[near] + 1).tolist()))
+    h = pa.array(range(1, len(forms) + 1), pa.int64())
+    stored = list(line_pairs.store(iter([pa.RecordBatch.from_arrays([h, pa.nulls(len(h), pa.int64()), pa.array(forms)], ["h", "label", "text"])])))
+    bands = {b for x in stored for b in x["band"].to_pylist()}
+    got = set()
+    for b in bands:
+        for share in range(shares):
+            rows = list(line_pairs.emit(0.9, b, b, share, shares, 3)(iter(stored)))
+            for x in line_pairs.meet(0.9)(iter(pa.Table.from_batches(rows).sort_by("part").to_batches())) if rows else ():
+                got |= set(zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert want <= got and len(want) > 30
