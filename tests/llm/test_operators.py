@@ -534,6 +534,21 @@ def test_line_dedup_leaves_no_link_out(spark):
     assert {r["id"] for r in line_dedup.duplicate_lines(docs).collect()} == want and len(want) > 100
 
 
+def test_line_dedup_loses_nothing_in_crowded_groups(spark):
+    """Lines of one template, far apart by words where letters change in most of them, near by edits."""
+    rng = random.Random(14)
+    forms = []
+    stem = [rng.choice(VOCABULARY) for _ in range(14)]
+    for _ in range(40):  # a template with a letter changed in most words: far apart by words, and some near by edits
+        t = " ".join(stem)
+        forms += [t := _edited(rng, t, 5), _edited(rng, t, len(t) // 10)]
+    forms = list(dict.fromkeys(forms))
+    root = brute.line_groups(forms, 0.9)
+    want = {i for i, r in enumerate(root) if i != r}
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    assert {r["id"] for r in line_dedup.duplicate_lines(docs).collect()} == want and len(want) > 20
+
+
 @pytest.mark.parametrize("letters,shares", [("ab", 1), ("abcdefghijklmnop ", 3), ("日本語漢字é ", 2)])
 def test_line_pairs_are_all_pairs(letters, shares):
     """The search alone, in one share of the hashes or several, gives every pair that all pairs give."""
