@@ -572,3 +572,43 @@ def test_line_pairs_are_all_pairs(letters, shares):
             for x in line_pairs.meet(0.9)(iter(pa.Table.from_batches(rows).sort_by("part").to_batches())) if rows else ():
                 got |= set(zip(x["a"].to_pylist(), x["b"].to_pylist()))
     assert want <= got and len(want) > 30
+
+
+def test_line_dedup_verifies_bounded_pieces(spark, monkeypatch):
+    """What is compared at once is bounded in bytes, however many parts, pairs or long lines a batch has."""
+    taken = []
+
+    class Counted(edits.Texts):
+        def __init__(self, texts):
+            taken.append(sum(map(len, texts)))
+            super().__init__(texts)
+
+    monkeypatch.setattr(line_dedup, "Texts", Counted)
+    monkeypatch.setattr(edits, "Texts", Counted)
+    monkeypatch.setattr(line_dedup, "COMPARED", 4000)
+    rng = random.Random(16)
+    text = [s + end for s in ("".join(rng.choice("abcdefg ") for _ in range(500)) for _ in range(40)) for end in "01"]
+    form = pa.array([b"%016d" % k for k in range(80)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([k // 4 for k in range(80)]), form, pa.array(text)], ["part", "form", "text"])
+    got = pa.Table.from_batches(line_dedup._verify_parts(0.9)(iter([batch])))
+    assert {(x["a"], x["b"]) for x in got.to_pylist()} == {(b"%016d" % k, b"%016d" % (k + 1)) for k in range(0, 80, 2)}
+    pairs = pa.RecordBatch.from_arrays([form[::2], pa.array(text[::2]), form[1::2], pa.array(text[1::2])], ["a", "x", "b", "y"])
+    assert sum(b.num_rows for b in line_dedup._verify_pairs(0.9)(iter([pairs]))) == 40
+    assert max(taken) < 6000 and len(taken) > 20
+
+
+def test_line_pairs_list_no_pair_of_one_label_and_no_place_twice(monkeypatch):
+    """Lines of one label and a phrase that two lines repeat cost no more than the lines; pairs of other labels are all found."""
+    rng = np.random.default_rng(15)
+    key, among = (rng.integers(0, 12, n).astype(np.uint64) for n in (300, 200))
+    label, label2 = (rng.integers(0, 5, n).astype(np.uint64) for n in (300, 200))
+    got = [x for i, j in line_pairs._found(key, among, label, label2) for x in zip(i.tolist(), j.tolist())]
+    assert sorted(got) == [(i, j) for i in range(300) for j in range(200) if key[i] == among[j] and label[i] != label2[j]]
+    listed, plain = [], line_pairs._found
+    monkeypatch.setattr(line_pairs, "_found", lambda *a: ((listed.append(len(i)), (i, j))[1] for i, j in plain(*a)))
+    texts = ["the same words again " * 200 + "and one end", "the same words again " * 200 + "or another end"]
+    stored = list(line_pairs.store(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.nulls(2, pa.int64()), pa.array(texts)], ["h", "label", "text"])])))
+    band = max(b for x in stored for b in x["band"].to_pylist())
+    rows = list(line_pairs.emit(0.9, band, band, 0, 1, 2)(iter(stored)))
+    found = {(a, b) for x in line_pairs.meet(0.9)(iter(pa.Table.from_batches(rows).sort_by("part").to_batches())) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())}
+    assert found == {(1, 2)} and sum(listed) < 10_000
