@@ -612,3 +612,26 @@ def test_line_pairs_list_no_pair_of_one_label_and_no_place_twice(monkeypatch):
     rows = list(line_pairs.emit(0.9, band, band, 0, 1, 2)(iter(stored)))
     found = {(a, b) for x in line_pairs.meet(0.9)(iter(pa.Table.from_batches(rows).sort_by("part").to_batches())) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())}
     assert found == {(1, 2)} and sum(listed) < 10_000
+
+
+def test_pairs_that_share_few_grams_are_not_aligned(monkeypatch):
+    """Candidates that differ leave before an alignment, and none of those within the edits allowed does."""
+    rng = np.random.default_rng(11)
+    parts = ["th", "er", "in", "tion", "an", "ed", "\u00e9", "ou", "\U0001f600"]
+    line = lambda n: " ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(n))
+    seen, plain = [], edits.aligned
+    monkeypatch.setattr(edits, "aligned", lambda *a: (seen.append(1), plain(*a))[1])
+    a, b = [line(100) for _ in range(100)], [line(100) for _ in range(100)]
+    assert not edits.similar_pairs(a, b, 0.9).any() and len(seen) < 10
+    a = [line(int(rng.integers(2, 60))) for _ in range(600)]
+    b = []
+    for x in a:
+        y = list(x)
+        for _ in range(rng.integers(0, max(2, len(x) // 4))):
+            k = int(rng.integers(len(y)))
+            y[k : k + int(rng.integers(2))] = ["z"] * int(rng.integers(2))
+        b.append("".join(y))
+    want = [1 - edits.distance(x, y) / max(len(x), len(y)) >= 0.9 - 1e-9 for x, y in zip(a, b)]
+    assert edits.similar_pairs(a, b, 0.9).tolist() == want and 100 < sum(want) < 500
+    n = np.arange(600)
+    assert edits.Texts([*a, *b]).similar(n, n + 600, 0.9).tolist() == want
