@@ -614,6 +614,16 @@ def test_line_pairs_list_no_pair_of_one_label_and_no_place_twice(monkeypatch):
     assert found == {(1, 2)} and sum(listed) < 10_000
 
 
+def test_gram_hashes_are_of_the_characters_alone():
+    """Equal n characters have equal hashes wherever they stand, in blocks of the text or at its ends; others differ."""
+    text = np.random.default_rng(12).integers(97, 100, 40_000).astype(np.uint32)
+    for n in range(10):
+        h = line_pairs.gram_hash(text, n)
+        rows = np.lib.stride_tricks.sliding_window_view(text, n) if n else np.zeros((40_001, 1), np.uint32)
+        known, own = np.unique(rows, axis=0, return_inverse=True)
+        assert len(h) == len(rows) and len(np.unique(h)) == len(known) == len(np.unique(np.stack((h, own.ravel()), 1), axis=0))
+
+
 def test_pairs_that_share_few_grams_are_not_aligned(monkeypatch):
     """Candidates that differ leave before an alignment, and none of those within the edits allowed does."""
     rng = np.random.default_rng(11)
