@@ -614,6 +614,21 @@ def test_line_pairs_list_no_pair_of_one_label_and_no_place_twice(monkeypatch):
     assert found == {(1, 2)} and sum(listed) < 10_000
 
 
+def test_packed_lines_write_a_label_only_where_there_is_one():
+    """A packed n-gram whose line is alone in its row takes 27 bytes or so, and lines keep their labels."""
+    n = 1000
+    name, size = np.arange(n, dtype=np.uint64) + 7, np.arange(n) % 300 + 20
+    for label in (name, np.where(np.arange(n) % 50 == 3, np.uint64(1 << 60), name)):
+        h, place = line_pairs.gram_hash(np.arange(n, dtype=np.uint32), 1), np.arange(n) % 20
+        beside = [(h >> np.uint32(k)).astype(np.uint16) for k in range(4)]
+        batches = list(line_pairs._packed(0, h, 3, np.arange(n), place, beside, name, label, size))
+        got = line_pairs._unpacked([x for b in batches for x in b.column("data")], 4)
+        line = got[4]
+        rows = sorted(zip(*[c[line].tolist() for c in got[:3]], *[c.tolist() for c in (got[3], *got[5:])]))
+        assert rows == sorted(zip(*[c.tolist() for c in (name, label, size, h, place, *beside)]))
+        assert sum(len(x.as_buffer()) for b in batches for x in b.column("data")) < 27 * n
+
+
 def test_gram_hashes_are_of_the_characters_alone():
     """Equal n characters have equal hashes wherever they stand, in blocks of the text or at its ends; others differ."""
     text = np.random.default_rng(12).integers(97, 100, 40_000).astype(np.uint32)
