@@ -614,6 +614,35 @@ def test_line_pairs_list_no_pair_of_one_label_and_no_place_twice(monkeypatch):
     assert found == {(1, 2)} and sum(listed) < 10_000
 
 
+@pytest.mark.parametrize("shares", [1, 3])
+def test_line_pairs_shuffle_only_what_may_meet(shares):
+    """With a sieve of the longer lines' halves few n-grams go out, a line's own halves let none of them pass, and every similar pair is still found."""
+    rng = random.Random(18)
+    forms = []
+    for n in (60, 120, 250, 300, 320, 700):
+        for k in range(40):
+            s = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+            forms += [s, *([_edited(rng, s, n // 12)] if k < 3 else [])]
+    forms = list(dict.fromkeys(forms))
+    i, j = np.triu_indices(len(forms), 1)
+    near = edits.Texts(forms).similar(i, j, 0.9)
+    want = set(zip((i[near] + 1).tolist(), (j[near] + 1).tolist()))
+    stored = list(line_pairs.store(iter([pa.RecordBatch.from_arrays([pa.array(range(1, len(forms) + 1), pa.int64()), pa.nulls(len(forms), pa.int64()), pa.array(forms)], ["h", "label", "text"])])))
+    bands = [b for x in stored for b in x["band"].to_pylist()]
+    first, last = min(bands), max(bands)
+    whole, grams, got = 0, 0, set()
+    for share in range(shares):
+        spots = pa.Table.from_batches(list(line_pairs.sift(0.9, first, last, share, shares, 4)(iter(stored)))).sort_by("part")
+        sieve = line_pairs.sieve_of(pa.Table.from_batches(list(line_pairs.unite(4)(iter(spots.to_batches())))), 4)
+        for held in (None, lambda: sieve):
+            rows = pa.Table.from_batches(list(line_pairs.emit(0.9, first, last, share, shares, 2, held)(iter(stored)))).sort_by("part")
+            size = sum(len(d.as_buffer()) for k, d in zip(rows["kind"].to_pylist(), rows["data"]) if k == 0)
+            whole, grams = (whole, grams + size) if held else (whole + size, grams)
+        for x in line_pairs.meet(0.9)(iter(rows.to_batches())):
+            got |= set(zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert want <= got and len(want) >= 15 and grams < whole / 8
+
+
 def test_packed_lines_write_a_label_only_where_there_is_one():
     """A packed n-gram whose line is alone in its row takes 27 bytes or so, and lines keep their labels."""
     n = 1000
