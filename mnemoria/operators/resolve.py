@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from mnemoria.functions import exprs as X
 from mnemoria.functions import text as N
 from mnemoria.functions.fuzzy import fuzzy, ratio
 from mnemoria.operators.graph import components
+from mnemoria.operators import vectors
 from mnemoria.operators.lineage import cut
 
 
@@ -141,26 +144,78 @@ def resolve_exact(mentions: DataFrame, tenant: list[str]) -> DataFrame:
     return own.groupBy(*tenant).applyInPandas(lambda f: resolve_in_order(f), f"id {kind}, entity_id {kind}")
 
 
-def similar(a: str, b: str, cosine="similarity", last_name: float = 0.65, tokens: float = 0.60, embedding: float = 0.75):
-    """Whether two nodes (columns name_<a>, aliases_<a>, ... and a similarity) should be merged."""
-    na, nb = F.trim(F.lower(f"name_{a}")), F.trim(F.lower(f"name_{b}"))
-    al = lambda s: F.transform(F.coalesce(F.col(f"aliases_{s}"), F.array().cast("array<string>")), lambda x: F.trim(F.lower(x)))
-    same = (na == nb) | F.arrays_overlap(al(a), al(b)) | F.array_contains(al(a), nb) | F.array_contains(al(b), na) | na.contains(nb) | nb.contains(na)
-    ta, tb = N.significant_tokens(f"name_{a}"), N.significant_tokens(f"name_{b}")
-    overlap = (F.size(ta) > 0) & (F.size(tb) > 0) & (F.size(F.array_intersect(ta, tb)) >= 0.5 * F.least(F.size(ta), F.size(tb)))
-    c = X.col(cosine)
-    return same | (N.share_last_name(f"name_{a}", f"name_{b}") & (c >= last_name)) | (overlap & (c >= tokens)) | (c >= embedding)
-
-
-def consolidation_pairs(nodes: DataFrame, **limits) -> DataFrame:
+def consolidation_pairs(nodes: DataFrame, last_name: float = 0.65, tokens: float = 0.60, embedding: float = 0.75) -> DataFrame:
     """(a, b, similarity) of nodes (id, name, aliases, entity_type, embedding) of one type to merge, a < b.
 
-    Every pair of a type is compared, as containment and embeddings have no key to meet on.
+    Every pair of a type is compared, as containment and embeddings have no key to meet on: one matrix product for each
+    pair of pieces of a type, and each pair of their distinct names once.  What leaves a task are pairs that are similar
+    by name or vector; where that leaves it to a shared word, they take their names along.
     """
-    own = nodes.select("id", "name", "aliases", F.lower(F.coalesce("entity_type", F.lit("unknown"))).alias("t"), "embedding")
-    side = lambda s: own.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "aliases", "embedding")])
-    met = side("a").join(side("b"), "t").where("id_a < id_b").withColumn("similarity", X.cosine("embedding_a", "embedding_b"))
-    return met.where(similar("a", "b", **limits)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
+    key = lambda c: F.trim(F.lower(c))
+    named = F.array_distinct(F.array_compact(F.array_append(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), key), key("name"))))
+    own = nodes.select("id", "name", F.lower(F.coalesce("entity_type", F.lit("unknown"))).alias("t"), key("name").alias("n"), named.alias("keys"), F.col("embedding").alias("v"))
+    kind = nodes.schema["id"].dataType.simpleString()
+    met = vectors.in_pieces(own, ["t"], vectors.BLOCK).groupBy("t", "lo", "hi").applyInArrow(_similar_in(min(last_name, tokens, embedding), embedding), f"a {kind}, b {kind}, similarity double, name_a string, name_b string, sure boolean")
+    ta, tb = N.significant_tokens("name_a"), N.significant_tokens("name_b")
+    overlap = (F.size(ta) > 0) & (F.size(tb) > 0) & (F.size(F.array_intersect(ta, tb)) >= 0.5 * F.least(F.size(ta), F.size(tb)))
+    c = F.col("similarity")
+    return met.where(F.col("sure") | (N.share_last_name("name_a", "name_b") & (c >= last_name)) | (overlap & (c >= tokens))).select("a", "b", "similarity")
+
+
+def cosines(left: list, right: list) -> np.ndarray:
+    """Cosine of every pair; 0 where a vector is null or zero, or their lengths differ."""
+    out = np.zeros((len(left), len(right)))
+    sizes = [np.array([-1 if v is None else len(v) for v in side]) for side in (left, right)]
+    for n in set(sizes[0].tolist()) & set(sizes[1].tolist()) - {-1, 0}:
+        i, j = (np.flatnonzero(s == n) for s in sizes)
+        x, y = (vectors.unit(pa.array([side[k] for k in at], pa.list_(pa.float64()))) for side, at in ((left, i), (right, j)))
+        out[np.ix_(i, j)] = np.nan_to_num(x @ y.T)
+    return out
+
+
+def _same_names(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Whether one of two nodes' names (name, keys) holds the other, or they have a key in common."""
+    out = np.zeros((len(left), len(right)), bool)
+    by_key: dict[str, list[int]] = {}
+    for j, (_, keys) in enumerate(right):
+        for k in keys:
+            by_key.setdefault(k, []).append(j)
+    for i, (n, keys) in enumerate(left):
+        for k in keys:
+            out[i, by_key.get(k, [])] = True
+        if n is not None:
+            out[i, [j for j, (m, _) in enumerate(right) if m is not None and (m in n or n in m)]] = True
+    return out
+
+
+def _similar_in(least: float, embedding: float):
+    """applyInArrow function for one pair of pieces of a type."""
+
+    def similar_in(table: pa.Table) -> pa.Table:
+        ids, names, p = table["id"].combine_chunks(), table["name"].combine_chunks(), table["p"].to_numpy()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        left, right = np.flatnonzero(p == lo), np.flatnonzero(p == hi)
+        vs, who = table["v"].to_pylist(), list(zip(table["n"].to_pylist(), map(tuple, table["keys"].to_pylist())))
+        sim = cosines([vs[i] for i in left], [vs[j] for j in right])
+        (la, lc), (ra, rc) = (_coded([who[i] for i in side]) for side in (left, right))
+        same = _same_names(la, ra)[lc][:, rc]
+        i, j = np.nonzero(same | (sim >= least))
+        a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
+        first = pc.less(a, b)
+        sure = same[i, j] | (sim[i, j] >= embedding)
+        some = lambda at: pc.if_else(pa.array(sure), pa.scalar(None, names.type), names.take(pa.array(at)))
+        swap = lambda x, y: (pc.if_else(first, x, y), pc.if_else(first, y, x))
+        (a1, b1), (na, nb) = swap(a, b), swap(some(left[i]), some(right[j]))
+        out = pa.table({"a": a1, "b": b1, "similarity": pa.array(sim[i, j]), "name_a": na, "name_b": nb, "sure": pa.array(sure)})
+        return out.filter(first) if lo == hi else out.filter(pc.not_equal(a, b))
+
+    return similar_in
+
+
+def _coded(rows: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    codes: dict[tuple, int] = {}
+    at = np.array([codes.setdefault(r, len(codes)) for r in rows], int)
+    return list(codes), at
 
 
 def leaders(frame: pd.DataFrame) -> pd.DataFrame:
