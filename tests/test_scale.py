@@ -51,3 +51,15 @@ def test_fusion_in_parts(spark, monkeypatch):
     some = {q for q, _ in exact}
     want = {k: min(1.0, 1 + 0.2 * near.get(k, 0.0)) for k in exact} | {k: 0.8 * s if k[0] in some else s for k, s in near.items() if k not in exact and (k[0] not in some or s >= 0.75)}
     assert {(r["question_id"], r["id"]): r["score"] for r in got.collect()} == want
+
+
+def test_names_in_questions_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "SPREAD", 3)
+    rng = np.random.default_rng(4)
+    words = ["ab", "a", "é", "bé", "ñandú", "x", "abé x", "zz"]
+    nodes = [(i, str(rng.choice(words)), None if i % 3 else str(rng.choice(words)).upper(), [str(rng.choice(words)) * 2, "x"]) for i in range(40)] + [(90, "", None, None)]
+    asked = [(q, " ".join(rng.choice([*words, "Ab", "q"], 5))) for q in range(30)] + [(77, None), (78, "")]
+    got = retrieve.exact_matches(spark.createDataFrame(nodes, "id long, name string, canonical_name string, aliases array<string>"), spark.createDataFrame(asked, "question_id int, question string")).collect()
+    forms = {i: {w.lower() for w in (n, c) if w} | {a.lower() for a in al or [] if len(a) >= 3} for i, n, c, al in nodes}
+    want = {(q, i) for q, t in asked if t for i, own in forms.items() if any(w in t.lower() for w in own)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
