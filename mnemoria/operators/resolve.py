@@ -25,6 +25,9 @@ from mnemoria.operators import vectors
 from mnemoria.operators.lineage import cut
 
 
+PATHS, MOST_PATHS = 1 << 10, 1 << 18  # best paths of transitive that are taken at first and at most; beyond, all are
+
+
 def name_pairs(names: DataFrame, least: float = 0.7, type_col: str = "entity_type") -> DataFrame:
     """(a, b, similarity) of distinct names of one type with a token in common and token similarity >= least.
 
@@ -272,18 +275,37 @@ def transitive(edges: DataFrame, least: float = 0.7, most: int | None = 10) -> D
     """New edges A -> C where A -> B and B -> C hold with confidence ``least``, and A -> C is unknown.
 
     Of several paths that with the greatest confidence counts.  ``most`` limits the edges that one run
-    adds, the most confident first (a setting of the operator; None for all).
+    adds, the most confident first (a setting of the operator; None for all).  Then only the best paths leave the join:
+    what comes before the last of them in order is complete, so if it holds ``most`` new edges, these are they; else more are taken.
     """
     sure = edges.where(F.col("confidence") >= least).select("source_id", "target_id", "weight", "confidence")
+    sure = sure if most is None else cut(sure)
     ab = sure.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").alias("w1"), F.col("confidence").alias("c1"))
     bc = sure.select(F.col("source_id").alias("b"), F.col("target_id").alias("c"), F.col("weight").alias("w2"), F.col("confidence").alias("c2"))
-    path = F.struct((0.8 * F.col("c1") * F.col("c2")).alias("confidence"), (0.5 * F.least("w1", "w2")).alias("weight"), F.col("b").alias("via"))
-    paths = ab.join(bc, "b").where("a <> c").groupBy("a", "c").agg(F.max(path).alias("p"))
-    known = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("c")).distinct()
-    new = paths.join(known, ["a", "c"], "left_anti").select(F.col("a").alias("source_id"), F.col("c").alias("target_id"), F.lit("INFERRED").alias("relation_type"), F.col("p.confidence").alias("confidence"), F.col("p.weight").alias("weight"), F.col("p.via").alias("via"))
+    paths = ab.join(bc, "b").where("a <> c").select("a", "c", (0.8 * F.col("c1") * F.col("c2")).alias("confidence"), (0.5 * F.least("w1", "w2")).alias("weight"), F.col("b").alias("via"))
+    known = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("c"))
+    size = PATHS
+    while most is not None and size <= MOST_PATHS:
+        order = [F.desc("confidence"), "a", "c"]
+        found = cut(paths.orderBy(*order).limit(size))
+        whole = found.count() < size
+        last = None if whole else found.orderBy(F.asc("confidence"), F.desc("a"), F.desc("c")).first()
+        own = found if whole else found.where((F.col("confidence") != last["confidence"]) | (F.col("a") != last["a"]) | (F.col("c") != last["c"]))
+        pairs = own.select("a", "c").distinct()
+        taken = cut(known.join(F.broadcast(pairs), ["a", "c"], "left_semi").distinct())
+        new = _inferred(own, taken)
+        if whole or new.count() >= most:
+            return new.orderBy(F.desc("confidence"), "source_id", "target_id").limit(most)
+        size *= 16
+    new = _inferred(paths, known.distinct())
     return new if most is None else new.orderBy(F.desc("confidence"), "source_id", "target_id").limit(most)
 
 
+def _inferred(paths: DataFrame, known: DataFrame) -> DataFrame:
+    best = paths.groupBy("a", "c").agg(F.max(F.struct("confidence", "weight", "via")).alias("p")).join(known, ["a", "c"], "left_anti")
+    return best.select(F.col("a").alias("source_id"), F.col("c").alias("target_id"), F.lit("INFERRED").alias("relation_type"), F.col("p.confidence").alias("confidence"), F.col("p.weight").alias("weight"), F.col("p.via").alias("via"))
+
+
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges by name become edges by id; those with an unknown end are dropped.  The last id in order wins a name."""
     names = F.explode(F.array_distinct(F.transform(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name", F.coalesce("canonical_name", "name"))), F.lower)))

@@ -63,3 +63,21 @@ def test_names_in_questions_in_parts(spark, monkeypatch):
     forms = {i: {w.lower() for w in (n, c) if w} | {a.lower() for a in al or [] if len(a) >= 3} for i, n, c, al in nodes}
     want = {(q, i) for q, t in asked if t for i, own in forms.items() if any(w in t.lower() for w in own)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_transitive_takes_more_paths_until_enough_are_new(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = sorted({(f"n{a}", f"n{b}"): (float(rng.integers(1, 4)), float(rng.integers(6, 11)) / 10) for a, b in rng.integers(0, 25, (220, 2))}.items())
+    rows = spark.createDataFrame([(a, b, w, c) for (a, b), (w, c) in edges], "source_id string, target_id string, weight double, confidence double")
+    best = {}
+    for (a, b), (w1, c1) in edges:
+        for (b2, c), (w2, c2) in edges:
+            if b == b2 and a != c and min(c1, c2) >= 0.7 and (a, c) not in dict(edges):
+                best[a, c] = max(best.get((a, c), (0.0, 0.0, "")), (0.8 * c1 * c2, 0.5 * min(w1, w2), b))
+    want = [(a, c, *p) for (a, c), p in sorted(best.items(), key=lambda x: (-x[1][0], x[0]))]
+    get = lambda most: [tuple(r) for r in resolve.transitive(rows, most=most).select("source_id", "target_id", "confidence", "weight", "via").collect()]
+    for size, most_paths in ((1, 1 << 18), (3, 50)):
+        monkeypatch.setattr(resolve, "PATHS", size)
+        monkeypatch.setattr(resolve, "MOST_PATHS", most_paths)
+        assert get(10) == want[:10]
+    assert get(10_000) == want and sorted(get(None)) == sorted(want)
