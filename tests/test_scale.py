@@ -1,8 +1,11 @@
 """Steps whose cost grew faster than their input, against brute force on small pieces."""
 
+from collections import Counter
+
 import numpy as np
+import pytest
 
-from mnemoria.operators import resolve, retrieve, vectors
+from mnemoria.operators import graph, resolve, retrieve, vectors
 
 
 def test_top_k_in_pieces(spark, monkeypatch):
@@ -81,3 +84,19 @@ def test_transitive_takes_more_paths_until_enough_are_new(spark, monkeypatch):
         monkeypatch.setattr(resolve, "MOST_PATHS", most_paths)
         assert get(10) == want[:10]
     assert get(10_000) == want and sorted(get(None)) == sorted(want)
+
+
+@pytest.mark.parametrize("labels", [1 << 24, 5])
+def test_labels_packed_and_joined(spark, monkeypatch, labels):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "LABELS", labels)
+    rng = np.random.default_rng(6)
+    ids = [f"v{i}" for i in range(60)]
+    pairs = [(ids[a], ids[b]) for a, b in rng.integers(0, 55, (110, 2))] + [("v1", "lost")]
+    near = {i: {y for x in pairs for y in x if i in x and y != i and y in ids} for i in ids}
+    want = {i: i for i in ids}
+    for _ in range(3):
+        votes = {i: Counter(want[j] for j in near[i]) for i in ids}
+        want = {i: min(votes[i], key=lambda k: (-votes[i][k], k)) if votes[i] else want[i] for i in ids}
+    got = graph.label_propagation(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source_id string, target_id string"), 3)
+    assert {r["id"]: r["label"] for r in got.collect()} == want
