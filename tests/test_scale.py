@@ -1,5 +1,6 @@
 """Steps whose cost grew faster than their input, against brute force on small pieces."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -100,3 +101,29 @@ def test_labels_packed_and_joined(spark, monkeypatch, labels):
         want = {i: min(votes[i], key=lambda k: (-votes[i][k], k)) if votes[i] else want[i] for i in ids}
     got = graph.label_propagation(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source_id string, target_id string"), 3)
     assert {r["id"]: r["label"] for r in got.collect()} == want
+
+
+def test_greedy_modularity_of_a_large_star_and_all_merges():
+    star = [(f"c{5 * i + j}", f"n{j}") for j in range(5) for i in range(2000)] + [(f"n{j}", "r") for j in range(5)]
+    began = time.time()
+    groups = graph.greedy_modularity(star)
+    assert time.time() - began < 20 and sorted(map(len, groups)) == [2001] * 4 + [2002]
+
+    def slow(pairs):
+        own = {v: {v} for p in pairs for v in p}
+        m, deg = len(pairs), Counter(v for p in pairs for v in p)
+        while True:
+            gains = []
+            for x in own:
+                for y in own:
+                    if x < y and (n := sum((a in own[x]) & (b in own[y]) | (b in own[x]) & (a in own[y]) for a, b in pairs)):
+                        gains.append((-(2 * m * n - sum(deg[v] for v in own[x]) * sum(deg[v] for v in own[y])), x, y))
+            if not gains or min(gains)[0] >= 0:
+                return sorted(map(sorted, own.values()), key=lambda c: (-len(c), c))
+            _, x, y = min(gains)
+            own[x] |= own.pop(y)
+
+    rng = np.random.default_rng(7)
+    for n in range(4, 24):
+        pairs = sorted({tuple(sorted((f"v{a}", f"v{b}"))) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b})
+        assert graph.greedy_modularity(pairs) == slow(pairs)
